@@ -10,6 +10,7 @@ footer. A lookup asks the filter, searches the index and reads one block.
 from __future__ import annotations
 
 import bisect
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ FOOTER = struct.Struct("<QQQQQQBI4s")
 MAGIC = b"LST1"
 BLOCK_BYTES = 1 << 18
 SHARD_BYTES = 1 << 28
+BLOCKS_A_TASK = 64
 BITS_PER_KEY = 10
 PROBES = 7
 
@@ -165,7 +167,7 @@ class LibraryEncoder:
     Texts with special tokens' strings or unusual characters go to the library whole.
     """
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -178,6 +180,7 @@ class LibraryEncoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
 
@@ -186,10 +189,15 @@ class LibraryEncoder:
 
     def _learn(self, words: list[str]) -> None:
         parts = [[w] if w.isalpha() else self.pattern.findall(w) for w in words]
-        missing = list({p for found in parts for p in found if p not in self.pieces})
-        if len(self.pieces) + len(missing) > self.remember:
-            self.pieces = {}
-            missing = list({p for found in parts for p in found})
+        if len(self.pieces) > self.remember:
+            self.older_pieces, self.pieces = self.pieces, {}
+        missing = []
+        for p in {p for found in parts for p in found}:
+            if p not in self.pieces:
+                if (held := self.older_pieces.get(p)) is not None:
+                    self.pieces[p] = held
+                else:
+                    missing.append(p)
         for start in range(0, len(missing), 2000):
             part = missing[start : start + 2000]
             coded = self.library.encode(" ".join(part), add_special_tokens=False)
@@ -197,9 +205,9 @@ class LibraryEncoder:
             if not len(owner) or owner[-1] != len(part) - 1:
                 raise ValueError("the library splits words otherwise than expected")
             ends = np.searchsorted(owner, np.arange(len(part)), "right")
-            begin = 0
-            for piece, end in zip(part, ends.tolist(), strict=True):
-                self.pieces[piece] = ids[begin:end].tobytes()
+            packed, begin = ids.tobytes(), 0
+            for piece, end in zip(part, (ends * self.width).tolist(), strict=True):
+                self.pieces[piece] = packed[begin:end]
                 begin = end
         for w, found in zip(words, parts, strict=True):
             self.words[w] = b"".join(map(self.pieces.__getitem__, found))
@@ -228,6 +236,12 @@ class LibraryEncoder:
         return [np.frombuffer(x if isinstance(x, bytes) else b"".join(map(get, x)), self.kind) for x in split]
 
 
+@functools.lru_cache(maxsize=1)
+def library_encoder(path: str) -> LibraryEncoder:
+    """The encoder of this worker process: what it remembers serves the tasks that follow."""
+    return LibraryEncoder(path)
+
+
 def _compile():
     import re
 
@@ -260,7 +274,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col
             return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["path", "block", "first_id", "docs_before", "tokens_before", "shard_docs", "shard_tokens"])
 
         for batch in batches:
-            encoder = encoder or LibraryEncoder(tokenizer)
+            encoder = encoder or library_encoder(tokenizer)
             if batch.column(0).null_count:
                 raise ValueError("a document without id can't be stored by its id")
             for start in range(0, len(batch), 500):
@@ -288,7 +302,9 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """
     shards = manifest.where("block = 0").select("path", "first_id", "shard_tokens")
     offsets = shards.withColumn("offset", F.sum("shard_tokens").over(Window.orderBy("first_id", "path")) - F.col("shard_tokens")).select("path", "offset")
-    blocks = manifest.select("path", "block").join(offsets, "path").repartition("path", "block")
+    # A stated number of partitions: Spark would else take these few small rows for little work.
+    tasks = -(-manifest.count() // BLOCKS_A_TASK)
+    blocks = manifest.select("path", "block").join(offsets, "path").repartition(max(1, tasks), "path", "block")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.wordbpe import Encoder, Lexicon, WordBPE, build_lexicon, default_tokenizer, normalised_words
+from lodestone.llm.wordbpe import WordBPE, build_lexicon, default_tokenizer, normalised_words, worker_encoder
 
 LEXICON_WORDS = 32_768
 
@@ -77,7 +77,7 @@ def encode_decode(docs: DataFrame, keep: list[str], tokenizer: str | None = None
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(WordBPE(tokenizer), Lexicon.mapped(shared.value))
+        encoder = worker_encoder(tokenizer, shared.value)
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)

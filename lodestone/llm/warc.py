@@ -24,6 +24,7 @@ from lodestone.llm.storage import PublishedFile, RangeReader, make_folder, mater
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 28
+FRAMES_A_TASK = 64
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -160,7 +161,9 @@ def read_archives(spark: SparkSession, index: DataFrame, payload: bool = False)
 
     A response's payload must have the digest that its header states.
     """
-    frames = index.select("path", "frame").distinct().repartition("path", "frame")
+    frames = index.select("path", "frame").distinct()
+    # A stated number of partitions: Spark would else take these few small rows for little work.
+    frames = frames.repartition(max(1, -(-frames.count() // FRAMES_A_TASK)), "path", "frame")
     schema = RECORDS + (", payload binary" if payload else "")
 
     def number(uri: str | None) -> int | None:

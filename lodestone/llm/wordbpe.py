@@ -9,6 +9,7 @@ many at a time in numpy. Word results are remembered within a bound.
 
 from __future__ import annotations
 
+import functools
 import json
 import mmap
 import os
@@ -298,9 +299,10 @@ class Lexicon:
 class Encoder:
     """Texts to ids. ``lexicon`` holds split words; None leaves every word to the merges."""
 
-    def __init__(self, bpe: WordBPE, lexicon: Lexicon | None = None, remember: int = 150_000):
+    def __init__(self, bpe: WordBPE, lexicon: Lexicon | None = None, remember: int = 200_000):
         self.bpe, self.lexicon, self.remember = bpe, lexicon, remember
         self.pieces: dict[bytes, bytes] = {}
+        self.older_pieces: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.special = re.compile("|".join(re.escape(s) for s in sorted(bpe.special, key=len, reverse=True))) if bpe.special else None
@@ -308,9 +310,15 @@ class Encoder:
     def _resolve(self, words: set[str], pieces: set[bytes]) -> None:
         split = {w: self.bpe.split(w) for w in words}
         needed = {p for parts in split.values() for p in parts} | pieces
-        missing = [p for p in needed if p not in self.pieces]
-        if len(self.pieces) + len(missing) > self.remember:
-            self.pieces, missing = {}, list(needed)
+        if len(self.pieces) > self.remember:
+            self.older_pieces, self.pieces = self.pieces, {}
+        missing = []
+        for p in needed:
+            if p not in self.pieces:
+                if (held := self.older_pieces.get(p)) is not None:
+                    self.pieces[p] = held
+                else:
+                    missing.append(p)
         if self.lexicon is not None and missing:
             index = self.lexicon.find(missing)
             for i in np.flatnonzero(index >= 0):
@@ -369,6 +377,12 @@ class Encoder:
         return " ".join(map(self.bpe.tokens.__getitem__, ids.tolist()))
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str, lexicon: bytes | None) -> Encoder:
+    """The encoder of this worker process: what it remembers serves the tasks that follow."""
+    return Encoder(WordBPE(path), None if lexicon is None else Lexicon.mapped(lexicon))
+
+
 def default_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
