@@ -64,7 +64,8 @@ class Shard:
         self.head, self.body, self.held, self.before, self.first = [], [], 0, b"", None
         self.at = (self.docs, self.tokens)
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int, data: bytes) -> None:
+        """``data`` holds the ids as little-endian unsigned integers of ``width`` bytes."""
         key = key_of(doc_id)
         same = 0
         if self.first is None:
@@ -72,15 +73,14 @@ class Shard:
         else:
             while same < len(key) and key[same] == self.before[same]:
                 same += 1
-        self.head.append(struct.pack("<BBI", same, len(key) - same, len(ids)) + key[same:])
-        data = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
+        self.head.append(struct.pack("<BBI", same, len(key) - same, len(data) // self.width) + key[same:])
         self.body.append(data)
         self.held += len(data)
         self.before = key
         if not self.keys or self.keys[-1] != key:
             self.keys.append(key)
         self.docs += 1
-        self.tokens += len(ids)
+        self.tokens += len(data) // self.width
         if self.held >= BLOCK_BYTES:
             self._flush()
 
@@ -167,7 +167,7 @@ class LibraryEncoder:
     Texts with special tokens' strings or unusual characters go to the library whole.
     """
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, remember: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -183,6 +183,9 @@ class LibraryEncoder:
         self.older_pieces: dict[str, bytes] = {}
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
+        self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -200,11 +203,10 @@ class LibraryEncoder:
                     missing.append(p)
         for start in range(0, len(missing), 2000):
             part = missing[start : start + 2000]
-            coded = self.library.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.array(coded.ids, self.kind), np.array(coded.word_ids, np.int64)
-            if not len(owner) or owner[-1] != len(part) - 1:
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):
                 raise ValueError("the library splits words otherwise than expected")
-            ends = np.searchsorted(owner, np.arange(len(part)), "right")
             packed, begin = ids.tobytes(), 0
             for piece, end in zip(part, (ends * self.width).tolist(), strict=True):
                 self.pieces[piece] = packed[begin:end]
@@ -212,7 +214,8 @@ class LibraryEncoder:
         for w, found in zip(words, parts, strict=True):
             self.words[w] = b"".join(map(self.pieces.__getitem__, found))
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as unsigned integers of ``width`` bytes."""
         split: list[list[str] | bytes] = []
         wanted: set[str] = set()
         for text in texts:
@@ -233,7 +236,7 @@ class LibraryEncoder:
         if missing:
             self._learn(missing)
         get = self.words.__getitem__
-        return [np.frombuffer(x if isinstance(x, bytes) else b"".join(map(get, x)), self.kind) for x in split]
+        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in split]
 
 
 @functools.lru_cache(maxsize=1)
@@ -266,7 +269,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col
     make_folder(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = None, None
+        encoder, shard, end = None, None, b""
 
         def finish():
             path, index = shard.finish()
@@ -274,7 +277,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col
             return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["path", "block", "first_id", "docs_before", "tokens_before", "shard_docs", "shard_tokens"])
 
         for batch in batches:
-            encoder = encoder or library_encoder(tokenizer)
+            if encoder is None:
+                encoder = library_encoder(tokenizer)
+                end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
             if batch.column(0).null_count:
                 raise ValueError("a document without id can't be stored by its id")
             for start in range(0, len(batch), 500):
@@ -283,7 +288,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col
                 for doc_id, ids in zip(part.column(0).to_pylist(), coded, strict=True):
                     if shard is None:
                         shard = Shard(folder, encoder.width)
-                    shard.add(doc_id, ids if end_id is None else np.append(ids, ids.dtype.type(end_id)))
+                    shard.add(doc_id, ids + end)
                 if shard is not None and shard.file.position >= SHARD_BYTES:
                     yield finish()
                     shard = None
