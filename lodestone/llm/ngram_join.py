@@ -34,6 +34,7 @@ U = np.uint64
 SMALL_BUCKET = 24
 BLOCK_SHINGLES = 2_000_000
 LONGEST = 1 << 40
+SKETCH_BITS = 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -205,6 +206,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(none), np.int32)), pa.array(key[keep]), pa.array(c[keep]), pa.array(n[keep]), none, none, none, pa.array(pivot[keep]), pa.array(pivot_n[keep])], schema=schema)
 
 
+def _with_parity(words: int):
+    """Adds a set's size and the parities of its elements in SKETCH_BITS places, as 64-bit words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            sizes, bits = [], []
+            for text in batch.column("text").cast(pa.binary()):
+                h = shingle_set(text.as_py(), words, memo)
+                sizes.append(len(h))
+                places = np.bincount((h & U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                bits.append(np.packbits(places.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "size", "parity"])
+
+    return run
+
+
 def _verify(words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule, memo = PartEnum(num, den), WordHashes()
@@ -297,9 +315,14 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, num: int = 80, de
     wanted = materialise(classes.join(in_buckets, "c"), "candidates")
     bitmap = bloom_bitmap(wanted, "th")
     texts = base.where(may_contain(bitmap, F.col("th"))).join(wanted.select("node", "rep", F.col("th").alias("th2")), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("th2")))
-    texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_with_parity(words), "node binary, text string, size long, parity array<long>")
+    texts = materialise(texts, "texts")
 
     def links_of(pairs: DataFrame) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("parity").alias(f"parity_{side}")), side)
+        differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        pairs = materialise(pairs.where(differ * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)).select("a", "b"), "near-pairs")
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, num, den), "a binary, b binary")
@@ -329,7 +352,7 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, num: int = 80, de
     )
     many = open_members.where(F.col("m") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("m") * F.col("largest") / F.lit(BLOCK_SHINGLES)).cast("int"))
     many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(texts, "node")
+    many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(texts.select("node", "text"), "node")
     blocked = many.groupBy("key", "i", "j").applyInArrow(_verify_blocks(words, num, den), "a binary, b binary")
     late = materialise(links_of(rest).unionByName(blocked), "late-links")
     if not late.isEmpty():
