@@ -33,7 +33,6 @@ from lodestone.llm.storage import materialise
 U = np.uint64
 SMALL_BUCKET = 24
 BLOCK_SHINGLES = 2_000_000
-LONGEST = 1 << 40
 SKETCH_BITS = 2048
 
 
@@ -80,11 +79,11 @@ class PartEnum:
     num: int
     den: int
 
-    def bands(self) -> tuple[np.ndarray, list[int], list[int]]:
-        """Least size of each band, with the bound k and the number of ranges n1 of its instance."""
+    def bands(self, longest: int = 1 << 16) -> tuple[np.ndarray, list[int], list[int]]:
+        """Least size of each band up to that of ``longest`` and the next, with the bound k and the number of ranges n1 of its instance."""
         least, bound, ranges = [], [], []
         low = 1
-        while low < LONGEST:
+        while len(least) < 2 or least[-2] <= longest:
             high = low * self.den // self.num
             k = (self.den - self.num) * 2 * high // (self.den + self.num)
             least.append(low)
@@ -123,7 +122,8 @@ FOUND = "kind int, key long, c long, n int, doc_id long, th long, d2 long, pivot
 
 def _sketch(words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (least, bound, ranges) = WordHashes(), PartEnum(num, den).bands()
+        memo, rule, reach = WordHashes(), PartEnum(num, den), 1 << 16
+        least, bound, ranges = rule.bands(reach)
         seen: set[tuple[int, int]] = set()
         schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("c", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("d2", pa.int64())])
 
@@ -150,6 +150,9 @@ def _sketch(words: int, num: int, den: int):
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add((c, d))
+                if n > reach:
+                    reach = 2 * n
+                    least, bound, ranges = rule.bands(reach)
                 band = int(np.searchsorted(least, n, "right")) - 1
                 for j, size in ((band, n), (band + 1, -n)):
                     sig = signatures(h, sums, j, bound[j], ranges[j])
