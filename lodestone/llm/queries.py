@@ -43,7 +43,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records in seekable bundles and read back."""
     index = warc.write_archives(warc.plan_records(table(importable(spark), sf_dir, "pages"), least_payload=0))
-    return warc.read_archives(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "frame", "at")
+    return warc.read_archives(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +87,26 @@ FROM documents d JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY 1) m O
 """
 
 
+#: Base 32 of a SHA-1: each 5 bytes are 8 digits of 5 bits.
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS x, min(page_id) OVER (PARTITION BY sha1(b)) AS f FROM p),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (i // 8 * 10 + 1)::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31)::BIGINT + 1, 1)), '') AS payload_digest FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM d
+"""
+
+#: The CRC's table follows from its polynomial; the sum goes over the text's bytes.
+OP10_SQL = f"""
+WITH t9 AS (SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, {0xEDB88320}::BIGINT) ELSE c >> 1 END, n::BIGINT) AS v FROM range(256) t(n)),
+crc AS (SELECT list(v ORDER BY n) AS t FROM t9),
+b AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x, md5('shard:' || coalesce(doc_id::VARCHAR, '')) AS m FROM documents),
+s AS (SELECT doc_id, source, (length(x) // 2 + 1)::BIGINT AS size, ('0x' || substr(m, 1, 8))::BIGINT AS h,
+  CASE WHEN x = '' THEN 0 ELSE xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) END AS text_crc32 FROM b, crc),
+f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32) * 2 - 1)::DOUBLE / (count(*) OVER (PARTITION BY source) * 2)::DOUBLE AS fraction FROM s),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, doc_id, text_crc32) - 1 AS position, count(*) OVER () AS n FROM f)
+SELECT doc_id, size, text_crc32, 'rows' AS law, ((position * 8) // n)::INT AS shard, (position - (((position * 8) // n) * n + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard, position FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op6_warc_bundles": OP6_SQL, "op10_stratified_shards": OP10_SQL}
