@@ -8,10 +8,8 @@ folder and rereads them, so a lost executor costs at most one stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm import langid, mixing, ngram_join, tokens
-from lodestone.llm.idfilter import bloom_bitmap, may_contain
 from lodestone.llm.storage import materialise
 from lodestone.llm.wordbpe import default_tokenizer
 from lodestone.session import importable
@@ -28,11 +26,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates (5-word shingles, similarity 0.8)."""
     importable(spark)
-    found = ngram_join.near_duplicate_components(docs, words=5, num=80, den=100)
-    dropped = materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias("dropped"), F.xxhash64("doc_id").alias("h")), "dropped")
-    bitmap = bloom_bitmap(dropped, "h")
-    rows = docs.select(*COLUMNS).withColumn("_maybe", may_contain(bitmap, F.xxhash64("doc_id")))
-    return rows.where("not _maybe").unionByName(rows.where("_maybe").join(dropped, F.col("doc_id") == F.col("dropped"), "left_anti")).select(*COLUMNS)
+    return ngram_join.without_near_duplicates(docs.select(*COLUMNS), words=5, num=80, den=100)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -108,7 +109,7 @@ def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text", bit
     shared = spark.sparkContext.broadcast(model)
     has_letter = F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False))
     chosen = docs.select(*keep, F.when(has_letter, F.col(text_col)).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "lang_pred string, score double"])
+    schema = StructType([*chosen.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix, priors = shared.value
@@ -135,9 +136,8 @@ def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text", bit
 
 def accepted(docs: DataFrame, model, least_score: float = 0.5, languages: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``least_score`` (and is one of ``languages``, if given)."""
-    columns = docs.columns
-    tagged = predict(docs.select("*", F.col(text_col).alias("_scored")), model, columns, "_scored")
+    tagged = predict(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("scored")), model, ["row"], "scored")
     fits = (F.col("lang_pred") != "und") & (F.col("score") >= least_score)
     if languages is not None:
         fits = fits & F.col("lang_pred").isin(languages)
-    return tagged.where(fits).select(*columns)
+    return tagged.where(fits).select("row.*")

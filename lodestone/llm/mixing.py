@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.storage import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1 << 20
 PER_TASK = 50_000
@@ -72,7 +74,7 @@ def _solve(grid: DataFrame, most: int, rounds: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: int = 3, most: int = 3, rounds: int = 32, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) of every document.
+    """(doc_id, source, size, source_size, target, rate, copies, taken, text_hash) of every document.
 
     ``taken = copies * size`` and copies is at most ``most``. A document without
     words has size 0, one copy and takes 0 words; a source without words has
@@ -82,7 +84,7 @@ def mix_sources(docs: DataFrame, weights: int = 3, most: int = 3, rounds: int =
     with the same id are told apart by an arbitrary but fixed order of equal rows.
     Other columns are ignored. An empty table gives none.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     base = base.withColumn("h", F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long"))
     grid = base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs"))
     sources = targets(grid.groupBy("source").agg(F.sum(F.col("docs") * F.col("size")).alias("source_size")), weights, most)
@@ -108,12 +110,31 @@ def mix_sources(docs: DataFrame, weights: int = 3, most: int = 3, rounds: int =
     ranked = tagged.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "slice").orderBy("h", F.col("doc_id").isNull(), "doc_id")))
     joined = ranked.alias("r").join(counts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.size") == F.col("c.size")) & (F.col("r.slice") == F.col("c.slice")))
     copies = (F.col("base") + F.when(F.col("rank") + F.col("before") <= F.col("extra"), 1).otherwise(0)).cast("int")
-    return joined.select("r.doc_id", "r.source", "r.size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("r.size")).cast("long").alias("taken"))
+    return joined.select("r.doc_id", "r.source", "r.size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("r.size")).cast("long").alias("taken"), "r.text_hash")
+
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: every row of ``docs``, with all its columns, repeated as often as it has copies.
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every row of ``docs``, repeated as often as it has copies (ids must be unique and not null)."""
-    copies = mix_sources(docs, **how).select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"))
-    id_col = how.get("id_col", "doc_id")
-    out = docs.join(copies, docs[id_col] == F.col("_mix_id")).where("_mix_copies > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+    Rows find their copies by id, source and text, nulls included. Rows that
+    agree in all three share the sum of their copies as evenly as it goes, the
+    first of them (by all columns, as JSON) getting what is left over.
+    """
+    mix = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    found = mix.groupBy("doc_id", "source", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
+    found = materialise(found, "copies")
+
+    # The row travels as one struct, so that its columns may have any names.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("from"), F.xxhash64(F.col(text_col)).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("hash") == F.col("text_hash"))
+
+    def repeated(joined: DataFrame) -> DataFrame:
+        return joined.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row")
+
+    out = repeated(rows.join(found.where("rows = 1"), same))
+    several = found.where("rows > 1")
+    if not several.isEmpty():
+        place = F.row_number().over(Window.partitionBy("id", "from", "hash").orderBy(F.to_json("row")))
+        share = F.expr("copies div rows") + F.when(F.col("place") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+        out = out.unionByName(repeated(rows.join(several, same).withColumn("place", place).withColumn("copies", share)))
+    return out.select("row.*")

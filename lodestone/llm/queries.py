@@ -14,7 +14,7 @@ from lodestone.session import importable, table
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have Jaccard similarity 0.85 or more."""
-    return ngram_join.near_duplicate_components(table(importable(spark), sf_dir, "documents"), words=4, num=85, den=100)
+    return ngram_join.near_duplicate_components(table(importable(spark), sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.storage import PublishedFile, RangeReader, make_folder, materialise, new_folder
 
 FOOTER = struct.Struct("<QQQQQQBI4s")
-MAGIC = b"LST1"
+MAGIC = b"LST2"
+KEY_BYTES = 9
 BLOCK_BYTES = 1 << 18
 SHARD_BYTES = 1 << 28
 BLOCKS_A_TASK = 64
@@ -31,13 +32,14 @@ BITS_PER_KEY = 10
 PROBES = 7
 
 
-def key_of(doc_id: int) -> bytes:
-    """8 bytes whose byte order is the order of signed 64-bit ids."""
-    return struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
+def key_of(doc_id: int | None) -> bytes:
+    """9 bytes whose byte order is the order of signed 64-bit ids, no id coming first."""
+    return bytes(KEY_BYTES) if doc_id is None else struct.pack(">BQ", 1, doc_id + (1 << 63))
 
 
-def id_of(key: bytes) -> int:
-    return struct.unpack(">Q", key)[0] - (1 << 63)
+def id_of(key: bytes) -> int | None:
+    there, shifted = struct.unpack(">BQ", key)
+    return shifted - (1 << 63) if there else None
 
 
 def _hashes(key: bytes) -> tuple[int, int]:
@@ -64,7 +66,7 @@ class Shard:
         self.head, self.body, self.held, self.before, self.first = [], [], 0, b"", None
         self.at = (self.docs, self.tokens)
 
-    def add(self, doc_id: int, data: bytes) -> None:
+    def add(self, doc_id: int | None, data: bytes) -> None:
         """``data`` holds the ids as little-endian unsigned integers of ``width`` bytes."""
         key = key_of(doc_id)
         same = 0
@@ -118,10 +120,10 @@ class ShardReader:
         index, self.bloom = self.reader.read(at_index, at_bloom - at_index), self.reader.read(at_bloom, self.bits // 8)
         if zlib.crc32(index + self.bloom) != check:
             raise ValueError("damaged index")
-        size = 8 + struct.calcsize("<QIIQQ")
-        self.index = [(index[i * size : i * size + 8], *struct.unpack_from("<QIIQQ", index, i * size + 8)) for i in range(count)]
+        size = KEY_BYTES + struct.calcsize("<QIIQQ")
+        self.index = [(index[i * size : i * size + KEY_BYTES], *struct.unpack_from("<QIIQQ", index, i * size + KEY_BYTES)) for i in range(count)]
 
-    def block(self, number: int) -> Iterator[tuple[int, int, bytes]]:
+    def block(self, number: int) -> Iterator[tuple[int | None, int, bytes]]:
         """(doc_id, tokens before it in this shard, ids as stored) of one block."""
         import zstandard
 
@@ -142,7 +144,7 @@ class ShardReader:
     def ids(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, "<u2" if self.width == 2 else "<u4").astype("<u4")
 
-    def get(self, doc_id: int) -> np.ndarray | None:
+    def get(self, doc_id: int | None) -> np.ndarray | None:
         """Ids of one document, or None: filter, binary search of the index, one block (the first row, if ids repeat)."""
         key = key_of(doc_id)
         a, b = _hashes(key)
@@ -262,8 +264,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col
 
     Texts are dealt by ranges of the id before they are encoded, so one pass
     makes the files. A null text is an empty one: it has ``end_id`` alone. A
-    null id can't be a key: such rows raise an error. Rows that share an id
-    are all kept, in the order of their texts. An empty table gives no shard.
+    null id has a key of its own, before all others. Rows that share an id, or
+    have none, are all kept, in the order of their texts. An empty table gives
+    no shard.
     """
     folder = new_folder(docs.sparkSession, "sst")
     make_folder(folder)
@@ -280,8 +283,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col
             if encoder is None:
                 encoder = library_encoder(tokenizer)
                 end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
-            if batch.column(0).null_count:
-                raise ValueError("a document without id can't be stored by its id")
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
                 coded = encoder.encode_batch(part.column(1).to_pylist())
@@ -336,7 +337,8 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     return blocks.mapInArrow(run, schema)
 
 
-def lookup(manifest: DataFrame, doc_id: int) -> np.ndarray | None:
-    """Ids of one document: the shard by its first key, then filter, index and one block."""
-    nearby = manifest.where((F.col("block") == 0) & (F.col("first_id") <= doc_id)).orderBy(F.desc("first_id"), "path").limit(1).collect()
+def lookup(manifest: DataFrame, doc_id: int | None) -> np.ndarray | None:
+    """Ids of one document (None: of one without id): the shard by its first key, then filter, index and one block."""
+    reaches = F.col("first_id").isNull() | F.coalesce(F.col("first_id") <= F.lit(doc_id).cast("long"), F.lit(False))
+    nearby = manifest.where((F.col("block") == 0) & reaches).orderBy(F.desc_nulls_last("first_id"), "path").limit(1).collect()
     return ShardReader(nearby[0]["path"]).get(doc_id) if nearby else None

@@ -305,3 +305,57 @@ def test_pipeline_stages(spark, docs):
     assert {r["doc_id"]: r["count"] for r in third.groupBy("doc_id").count().collect()} == {i: n for i, n in copies.items() if n}
     last = c.tokens_stage(spark, third, "").collect()
     assert len(last) == sum(copies.values()) and [k for k, _ in c.STAGES] == ["language_id", "ngram_jaccard_join", "source_mix", "bpe_codec"]
+
+
+FOX, TALE = "the quick brown fox jumps over the dog", "hello there my old friend of mine"
+AWKWARD = [(1, FOX, "en", "a", 1), (1, FOX, "en", "a", 1), (None, FOX, "en", "a", 1), (None, TALE, "en", None, 1), (None, TALE, "en", None, 2), (1, "another text with the same id", "en", "a", 1), (2, None, None, None, None), (2, "", "en", "b", 0)]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Null and repeated ids, repeated rows, null and empty texts, and columns with the operators' own names."""
+    clash = "key n c th component component_id text_hash size source_size target rank slice rows h score lang_pred row scored copies id from hash place copy maybe own many".split()
+    return spark.createDataFrame([r + (7,) * len(clash) for r in AWKWARD], DOCS + ", " + ", ".join(f"{c} int" for c in clash)).repartition(3)
+
+
+def kept(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_duplicates_leave_one_row(awkward):
+    rest = ngram_join.without_near_duplicates(awkward).cache()
+    assert rest.columns == awkward.columns
+    assert kept(rest) == sorted([(1, FOX), (None, TALE), (1, "another text with the same id"), (2, None), (2, "")], key=repr)
+    assert kept(ngram_join.without_near_duplicates(awkward.limit(0))) == []
+
+
+def test_mix_repeats_every_row(awkward):
+    mixed = mixing.mixed_documents(awkward)
+    sums = {}
+    for r in mixing.mix_sources(awkward).collect():
+        sums[r["doc_id"], r["source"], r["size"]] = sums.get((r["doc_id"], r["source"], r["size"]), 0) + r["copies"]
+    got = {}
+    for r in mixed.collect():
+        key = r["doc_id"], r["source"], len((r["text"] or "").split())
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in sums.items() if n} and "key" in mixed.columns
+    tale = mixed.where(F.col("text") == TALE).groupBy("n_chars").count().collect()
+    shared = sums[None, None, len(TALE.split())]
+    assert sorted((r["n_chars"], r["count"]) for r in tale) == [(1, -(-shared // 2)), (2, shared // 2)]
+    assert mixing.mixed_documents(awkward.limit(0)).count() == 0
+
+
+def test_language_keeps_columns_of_any_name(awkward):
+    got = langid.accepted(awkward, langid.train(awkward))
+    assert got.columns == awkward.columns and got.count() == 6 and {r["score"] for r in got.collect()} == {7}
+
+
+def test_token_shards_without_ids(spark, awkward):
+    manifest = sstable.write_tokens(awkward, default_tokenizer())
+    got = sorted(sstable.read_tokens(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, None, 1, 1, 1, 2, 2]
+    assert [r["start"] for r in got] == np.concatenate(([0], np.cumsum([r["n_tokens"] for r in got])[:-1])).tolist()
+    lib = library()
+    for doc_id, text in ((None, TALE), (2, "")):
+        assert sstable.lookup(manifest, doc_id).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 1]
+    assert sstable.lookup(manifest, 3) is None
