@@ -18,8 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.storage import materialise
-
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1 << 20
 PER_TASK = 50_000
@@ -117,24 +115,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself: every row of ``docs``, with all its columns, repeated as often as it has copies.
 
     Rows find their copies by id, source and text, nulls included. Rows that
-    agree in all three share the sum of their copies as evenly as it goes, the
-    first of them (by all columns, as JSON) getting what is left over.
+    agree in all three share the sum of their copies as evenly as it goes; which
+    of them get what is left over is arbitrary.
     """
     mix = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     found = mix.groupBy("doc_id", "source", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
-    found = materialise(found, "copies")
+    found = found.withColumn("key", F.xxhash64("doc_id", "source", "text_hash"))
 
     # The row travels as one struct, so that its columns may have any names.
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("from"), F.xxhash64(F.col(text_col)).alias("hash"))
-    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("hash") == F.col("text_hash"))
-
-    def repeated(joined: DataFrame) -> DataFrame:
-        return joined.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row")
-
-    out = repeated(rows.join(found.where("rows = 1"), same))
-    several = found.where("rows > 1")
-    if not several.isEmpty():
-        place = F.row_number().over(Window.partitionBy("id", "from", "hash").orderBy(F.to_json("row")))
-        share = F.expr("copies div rows") + F.when(F.col("place") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
-        out = out.unionByName(repeated(rows.join(several, same).withColumn("place", place).withColumn("copies", share)))
-    return out.select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("from"), F.xxhash64(F.col(text_col)).alias("hash")).withColumn("own", F.xxhash64("id", "from", "hash"))
+    same = (F.col("own") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("hash") == F.col("text_hash"))
+    # The join deals rows by own: numbering those of one key needs no other exchange.
+    place = F.row_number().over(Window.partitionBy("own", "id", "from", "hash").orderBy("own"))
+    share = F.expr("copies div rows") + F.when(place <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    shared = rows.join(found, same).select("row", share.cast("int").alias("copies")).where("copies > 0")
+    return shared.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

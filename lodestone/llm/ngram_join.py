@@ -297,23 +297,24 @@ def _verify_blocks(words: int, num: int, den: int):
 
 
 def near_duplicate_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, component, text_hash): exact components of the Jaccard >= num/den join.
+    """(doc_id, n_shingles, component_id, text_hash, stays): exact components of the Jaccard >= num/den join.
 
     ``component_id`` is the smallest id in the component. A text that is null or
     has no word has an empty set, links with nothing and is its own component.
     A text of fewer words than ``words`` has one shingle. Each input row gives
     one row: repeated rows and rows that share an id but not a text are kept
     apart; a row without id takes part and has the smallest id of its
-    component, or null. ``component`` names the component whatever its ids are
-    (null for an empty set) and ``text_hash`` is the text's xxhash64. Other
-    columns are ignored. An empty table gives none.
+    component, or null. ``text_hash`` is the text's xxhash64, and ``stays`` says
+    whether id and text are those of the component's first row: that with the
+    smallest id, then the smallest hash, rows without id coming last. Rows with
+    an empty set stay. Other columns are ignored. An empty table gives none.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
     found = base.mapInArrow(_sketch(words, num, den), SKETCH).repartition("key").sortWithinPartitions("key", F.desc("n"), "c").mapInArrow(_scan, FOUND)
     found = materialise(found, "partenum")
     rows = found.where("kind = 0").select("doc_id", "n", "c", "d2", "th", F.concat(F.to_binary(F.hex("c"), F.lit("hex")), F.to_binary(F.lpad(F.hex("d2"), 16, "0"), F.lit("hex"))).alias("node"))
-    classes = rows.where("n > 0").groupBy("c", "node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"), F.max("n").alias("n")).select("c", "node", "n", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"))
+    classes = rows.where("n > 0").groupBy("c", "node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"), F.max("n").alias("n")).select("c", "node", "n", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"), "first")
     members = found.where("kind = 1").select("key", "c", "n", "pivot", "pivot_n")
 
     in_buckets = members.select("c").unionByName(members.select(F.col("pivot").alias("c"))).distinct()
@@ -364,11 +365,12 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, num: int = 80, de
         edges = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late)
         roots = materialise(connected_components(edges), "roots")
 
-    linked = classes.join(roots, "node").select("node", "root", "rep")
-    lifted = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "root", "component_id")
-    out = rows.where("n > 0").select("doc_id", "n", "c", "node", "th").join(classes.select("c", "node", "rep"), ["c", "node"]).join(lifted, "node", "left")
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "node").alias("component"), F.col("th").alias("text_hash"))
-    return out.unionByName(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"), F.col("th").alias("text_hash")))
+    linked = classes.join(roots, "node").select("node", "root", "first")
+    lifted = linked.join(linked.groupBy("root").agg(F.min("first").alias("lead")), "root").select("node", "lead")
+    out = rows.where("n > 0").select("doc_id", "n", "c", "node", "th").join(classes.select("c", "node", "first"), ["c", "node"]).join(lifted, "node", "left").withColumn("lead", F.coalesce("lead", "first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("th") == F.col("lead.th"))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("lead.doc_id").alias("component_id"), F.col("th").alias("text_hash"), stays.alias("stays"))
+    return out.unionByName(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("th").alias("text_hash"), F.lit(True).alias("stays")))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,24 +378,22 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den:
 
     The row with the smallest id stays (of rows without id, only where no
     other is in the component); ties, as among repeated rows, leave one row.
-    Rows without words are in no component and stay. Only rows that share a
-    component with another are shuffled: a Bloom filter lets the rest pass.
+    Rows without words are in no component and stay. Texts are shuffled of the
+    rows that go, and of repeated ones: a Bloom filter lets the others pass.
     """
-    found = near_duplicate_components(docs, words, num, den, id_col, text_col).where("component is not null").select("doc_id", "text_hash", "component")
+    found = near_duplicate_components(docs, words, num, den, id_col, text_col).select("doc_id", "text_hash", (F.col("n_shingles") > 0).alias("counts"), "stays")
     found = materialise(found, "components")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    groups = found.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.min(order).alias("first")).where("m > 1")
-    marked = found.join(groups, "component").groupBy("doc_id", "text_hash").agg(F.max(order == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("many"))
-    marked = materialise(marked.select(F.xxhash64("doc_id", "text_hash").alias("h"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text"), "stays", "many"), "marked")
+    marked = found.where("not stays").select("doc_id", "text_hash", F.lit(False).alias("once")).distinct()
+    repeated = found.where("stays and counts").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id", "text_hash", F.lit(True).alias("once"))
+    marked = materialise(marked.unionByName(repeated).select(F.xxhash64("doc_id", "text_hash").alias("h"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text"), "once"), "marked")
 
     # The row travels as one struct, so that its columns may have any names.
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th")).withColumn("own", F.xxhash64("doc_id", "th"))
     rows = rows.withColumn("maybe", may_contain(bloom_bitmap(marked, "h"), F.col("own")))
     same = (F.col("own") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("text"))
-    kept = rows.where("maybe").join(marked, same, "left").where(F.coalesce("stays", F.lit(True)))
-    out = rows.where("not maybe").select("row").unionByName(kept.where(F.coalesce("many", F.lit(1)) == 1).select("row"))
-    several = marked.where("stays and many > 1")
-    if not several.isEmpty():
+    out = rows.where("not maybe").select("row").unionByName(rows.where("maybe").join(marked, same, "left_anti").select("row"))
+    again = marked.where("once")
+    if not again.isEmpty():
         place = F.row_number().over(Window.partitionBy("h", "id", "text").orderBy(F.to_json("row")))
-        out = out.unionByName(rows.where("maybe").join(several, same).withColumn("place", place).where("place = 1").select("row"))
+        out = out.unionByName(rows.where("maybe").join(again, same).withColumn("place", place).where("place = 1").select("row"))
     return out.select("row.*")
