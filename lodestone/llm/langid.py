@@ -98,6 +98,23 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
     return langs, matrix, priors
 
 
+def _decide(text: str | None, langs: list[str], matrix: np.ndarray, priors: np.ndarray, bits: int) -> tuple[str, float]:
+    """(language, posterior probability) of one text; null means that it can't be told."""
+    if text is None or not langs:
+        return "und", 0.0
+    total = priors.copy()
+    pieces = list(_pieces(text))
+    for i, points in enumerate(pieces):
+        for order in ORDERS:
+            total += np.add.reduce(matrix.take(_own(points, order, i == len(pieces) - 1, bits), axis=0), axis=0)
+    best = int(np.argmax(total))
+    return langs[best], float(1.0 / np.exp(total - total[best]).sum())
+
+
+def _with_letter(text_col: str):
+    return F.when(F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)), F.col(text_col))
+
+
 def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text", bits: int = BITS) -> DataFrame:
     """Columns ``keep`` with lang_pred and score, the posterior probability of the prediction.
 
@@ -107,8 +124,7 @@ def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text", bit
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    has_letter = F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False))
-    chosen = docs.select(*keep, F.when(has_letter, F.col(text_col)).alias("_text"))
+    chosen = docs.select(*keep, _with_letter(text_col).alias("_text"))
     schema = StructType([*chosen.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,28 +132,27 @@ def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text", bit
         for batch in batches:
             label, score = [], []
             for value in batch.column("_text"):
-                text = value.as_py()
-                if text is None or not langs:
-                    label.append("und")
-                    score.append(0.0)
-                    continue
-                total = priors.copy()
-                pieces = list(_pieces(text))
-                for i, points in enumerate(pieces):
-                    for order in ORDERS:
-                        total += np.add.reduce(matrix.take(_own(points, order, i == len(pieces) - 1, bits), axis=0), axis=0)
-                best = int(np.argmax(total))
-                label.append(langs[best])
-                score.append(float(1.0 / np.exp(total - total[best]).sum()))
+                found, sure = _decide(value.as_py(), langs, matrix, priors, bits)
+                label.append(found)
+                score.append(sure)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return chosen.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model, least_score: float = 0.5, languages: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known with at least ``least_score`` (and is one of ``languages``, if given)."""
-    tagged = predict(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("scored")), model, ["row"], "scored")
-    fits = (F.col("lang_pred") != "und") & (F.col("score") >= least_score)
-    if languages is not None:
-        fits = fits & F.col("lang_pred").isin(languages)
-    return tagged.where(fits).select("row.*")
+def accepted(docs: DataFrame, model, least_score: float = 0.5, languages: list[str] | None = None, text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` whose language is known with at least ``least_score`` (and is one of ``languages``, if given).
+
+    Only texts go to the Python workers, and only decisions come back.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def fits(texts: pa.Array) -> pa.Array:
+        out = []
+        for value in texts:
+            label, score = _decide(value.as_py(), *shared.value, bits)
+            out.append(label != "und" and score >= least_score and (languages is None or label in languages))
+        return pa.array(out, pa.bool_())
+
+    return docs.where(fits(_with_letter(text_col)))
