@@ -118,17 +118,6 @@ def call_graph_degrees(spark, d):
     return callgraph.degrees(callgraph.symbols(chunks), callgraph.call_sites(chunks))
 
 
-@query(
-    _CALLS_SQL
-    + """, seeds AS (SELECT doc_id AS query_id, doc_id, qualified_id FROM s WHERE doc_id % 100 = 0)
-SELECT DISTINCT q.query_id, n.doc_id AS chunk_id FROM seeds q JOIN (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e) x ON x.a = q.qualified_id JOIN s n ON n.qualified_id = x.b WHERE n.doc_id <> q.doc_id"""
-)
-def graph_expand(spark, d):
-    chunks = _call_chunks(spark, d)
-    seeds = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "chunk_id")
-    return callgraph.expand(seeds, callgraph.symbols(chunks), callgraph.call_sites(chunks))
-
-
 _DIST = "list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)))"
 
 
@@ -213,6 +202,17 @@ def boost_and_cap(spark, d):
     return _kept(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"), "place")
 
 
+@query(
+    f"""{_CALLS_SQL}, {_BM25}, {_KEPT}, seeds AS (SELECT k.query_id, s.doc_id, s.qualified_id FROM kept k JOIN s USING (doc_id))
+SELECT DISTINCT q.query_id, n.doc_id AS chunk_id FROM seeds q JOIN (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e) x ON x.a = q.qualified_id JOIN s n ON n.qualified_id = x.b
+WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.query_id = q.query_id AND z.doc_id = n.doc_id)"""
+)
+def graph_expand(spark, d):
+    chunks = _call_chunks(spark, d)
+    seeds = _kept(spark, d).select("query_id", F.col("doc_id").alias("chunk_id"))
+    return callgraph.expand(seeds, callgraph.symbols(chunks), callgraph.call_sites(chunks))
+
+
 @query(f"WITH {_BM25}, {_KEPT}, run AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY place) AS running FROM kept) SELECT query_id, doc_id, place::INT AS place, running::BIGINT AS running, least(tokens, 8000)::INT AS kept_tokens FROM run WHERE running <= 8000 OR place = 1")
 def context_pack(spark, d):
     return ranking.pack_context(_kept(spark, d)).select("query_id", "doc_id", "place", "running", "kept_tokens")
