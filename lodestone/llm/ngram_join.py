@@ -5,10 +5,12 @@ into size bands; for the pairs that one band (or two neighbours) can form, a
 Jaccard threshold bounds the symmetric difference by ``k``. The feature domain
 is partitioned into ``n1 > k`` ranges: a pair within the bound agrees on at
 least ``n1 - k`` of them, so each set enumerates the ranges' projections as
-signatures and similar sets share one. Of the ``n1`` projections a set may
-withhold those smaller than its ``n1 - k``-th smallest: the largest projection
-on which two similar sets agree is never withheld by either. Empty projections
-are therefore almost never emitted, and no similar pair is lost.
+signatures and similar sets share one. Of the ``n1`` projections, ordered by
+size and then by place, a set withholds the ``n1 - k - 1`` smallest: the last
+projection on which two similar sets agree is never withheld by either. ``k``
+may be the set's own bound, from its size and the largest partner that it can
+have in the instance, since a pair keeps to the bounds of both. Empty
+projections are therefore almost never emitted, and no similar pair is lost.
 
 Sets that share a signature form a bucket. Each bucket compares its members
 with one pivot only; what that leaves open after the components are known is
@@ -92,6 +94,11 @@ class PartEnum:
             low = high + 1
         return np.array(least), bound, ranges
 
+    def own_bound(self, n: int, least: int, high: int) -> int:
+        """Largest symmetric difference of a set of size n and a similar one of a size up to ``high``; -1 if none reaches ``least``."""
+        partner = min(high, n * self.den // self.num)
+        return -1 if partner < least else (self.den - self.num) * (n + partner) // (self.den + self.num)
+
     def fits(self, a: int, b: int) -> bool:
         return min(a, b) * self.den >= max(a, b) * self.num
 
@@ -100,7 +107,7 @@ class PartEnum:
 
 
 def signatures(h: np.ndarray, sums: np.ndarray, j: int, k: int, n1: int) -> np.ndarray:
-    """Signatures of a sorted set in instance j; ``sums`` are running sums of its element weights, from 0."""
+    """The k + 1 signatures of a sorted set in instance j of n1 ranges; ``sums`` are running sums of its element weights, from 0."""
     place = (h >> U(32)) * U(n1) >> U(32)
     start = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
     end = np.append(start[1:], len(h))
@@ -108,10 +115,11 @@ def signatures(h: np.ndarray, sums: np.ndarray, j: int, k: int, n1: int) -> np.n
     empty, may_withhold = n1 - len(start), n1 - k - 1
     place, value = place[start], sums[end] - sums[start]
     if may_withhold >= empty:
-        keep = count >= np.partition(count, may_withhold - empty)[may_withhold - empty]
+        rank = count * n1 + place.astype(np.int64)
+        keep = rank >= np.partition(rank, may_withhold - empty)[may_withhold - empty]
         place, value = place[keep], value[keep]
     else:
-        missing = np.setdiff1d(np.arange(n1, dtype=U), place)
+        missing = np.setdiff1d(np.arange(n1, dtype=U), place)[may_withhold:]
         place, value = np.concatenate((place, missing)), np.concatenate((value, np.zeros(len(missing), U)))
     return mix(value + mix(place * U(0x9E3779B97F4A7C15) + U(j * 0xC2B2AE3D27D4EB4F % (1 << 64))))
 
@@ -155,7 +163,10 @@ def _sketch(words: int, num: int, den: int):
                     least, bound, ranges = rule.bands(reach)
                 band = int(np.searchsorted(least, n, "right")) - 1
                 for j, size in ((band, n), (band + 1, -n)):
-                    sig = signatures(h, sums, j, bound[j], ranges[j])
+                    k = rule.own_bound(n, int(least[j]) if size < 0 else 1, int(least[j]) * den // num)
+                    if k < 0:
+                        continue
+                    sig = signatures(h, sums, j, min(k, bound[j]), ranges[j])
                     keys.append(sig)
                     sizes.append(np.full(len(sig), size, np.int32))
                     classes.append(np.full(len(sig), c, U))
@@ -319,18 +330,24 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, num: int = 80, de
 
     in_buckets = members.select("c").unionByName(members.select(F.col("pivot").alias("c"))).distinct()
     wanted = materialise(classes.join(in_buckets, "c"), "candidates")
-    bitmap = bloom_bitmap(wanted, "th")
-    texts = base.where(may_contain(bitmap, F.col("th"))).join(wanted.select("node", "rep", F.col("th").alias("th2")), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("th2")))
-    texts = texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_with_parity(words), "node binary, text string, size long, parity array<long>")
+    # One text of each class; both the join and the choice among repeated rows keep to the dealing by "own".
+    wanted_texts = wanted.select("node", "rep", F.col("th").alias("th2"), F.xxhash64("rep", "th").alias("h"))
+    own = base.withColumn("own", F.xxhash64("doc_id", "th")).where(may_contain(bloom_bitmap(wanted_texts, "h"), F.col("own")))
+    texts = own.join(wanted_texts, (F.col("own") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("th2")))
+    texts = texts.select("own", "node", "text").dropDuplicates(["own", "node"]).select("node", "text").mapInArrow(_with_parity(words), "node binary, text string, size long, parity array<long>")
     texts = materialise(texts, "texts")
 
+    def texts_of(some: DataFrame, column: str) -> DataFrame:
+        """Texts of the nodes in a written table's column, and few others."""
+        return texts.where(may_contain(bloom_bitmap(some.select(F.xxhash64(column).alias("h")), "h"), F.xxhash64("node"))).select("node", "text")
+
     def links_of(pairs: DataFrame) -> DataFrame:
         for side in "ab":
             pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("parity").alias(f"parity_{side}")), side)
         differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
         pairs = materialise(pairs.where(differ * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)).select("a", "b"), "near-pairs")
-        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        with_a = pairs.join(texts_of(pairs, "a").toDF("a", "ta"), "a")
+        both = with_a.join(texts_of(pairs, "b").toDF("b", "tb"), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, num, den), "a binary, b binary")
 
     fits = F.least(F.abs("n"), "pivot_n").cast("long") * den >= F.greatest(F.abs("n"), "pivot_n").cast("long") * num
@@ -356,9 +373,10 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, num: int = 80, de
         .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
         .distinct()
     )
-    many = open_members.where(F.col("m") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("m") * F.col("largest") / F.lit(BLOCK_SHINGLES)).cast("int"))
+    large = open_members.where(F.col("m") > SMALL_BUCKET)
+    many = large.withColumn("blocks", F.ceil(F.col("m") * F.col("largest") / F.lit(BLOCK_SHINGLES)).cast("int"))
     many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(texts.select("node", "text"), "node")
+    many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(texts_of(large, "node"), "node")
     blocked = many.groupBy("key", "i", "j").applyInArrow(_verify_blocks(words, num, den), "a binary, b binary")
     late = materialise(links_of(rest).unionByName(blocked), "late-links")
     if not late.isEmpty():

@@ -104,7 +104,15 @@ def test_partenum_loses_no_pair():
             sums = np.concatenate(([np.uint64(0)], np.cumsum(ngram_join.mix(h + np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
             band = int(np.searchsorted(least, len(h), "right")) - 1
             made.append({int(s) for j in (band, band + 1) for s in ngram_join.signatures(h, sums, j, bound[j], ranges[j])})
-        assert made[0] & made[1]
+            own = set()
+            for j, lowest in ((band, 1), (band + 1, int(least[band + 1]))):
+                k = rule.own_bound(len(h), lowest, int(least[j]) * 100 // 85)
+                if k >= 0:
+                    found = ngram_join.signatures(h, sums, j, min(k, bound[j]), ranges[j])
+                    assert len(found) == min(k, bound[j]) + 1
+                    own |= {int(s) for s in found}
+            made.append(own)
+        assert made[0] & made[2] and made[1] & made[3]
 
 
 def test_media_round_trip(docs, empty):
