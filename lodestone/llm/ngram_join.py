@@ -354,7 +354,7 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, num: int = 80, de
     star = members.where(fits).select("c", "pivot").distinct()
     by_class = wanted.select("c", "node", F.col("n").alias("size"))
     star = star.join(by_class.select("c", F.col("node").alias("b")), "c").join(by_class.select(F.col("c").alias("pivot"), F.col("node").alias("a")), "pivot").select("a", "b")
-    links = materialise(links_of(star), "links")
+    links = materialise(links_of(star), "links", small_rows=True)
     roots = materialise(connected_components(links), "roots")
 
     # Members other than the pivot, in buckets that still hold several components.
@@ -378,7 +378,7 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, num: int = 80, de
     many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(texts_of(large, "node"), "node")
     blocked = many.groupBy("key", "i", "j").applyInArrow(_verify_blocks(words, num, den), "a binary, b binary")
-    late = materialise(links_of(rest).unionByName(blocked), "late-links")
+    late = materialise(links_of(rest).unionByName(blocked), "late-links", small_rows=True)
     if not late.isEmpty():
         edges = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late)
         roots = materialise(connected_components(edges), "roots")

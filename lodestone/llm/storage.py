@@ -27,11 +27,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
+def materialise(df: DataFrame, name: str, codec: str = "zstd", small_rows: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
+
+    ``small_rows``: narrow rows that come from many tasks are dealt again, so
+    that files have a useful size whatever the number of tasks.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    (df.hint("rebalance") if small_rows else df).write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
