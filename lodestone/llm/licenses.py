@@ -62,10 +62,11 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
     return sorted(kept)
 
 
-def align(template: list[str], words: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: list[str], words: list[str | None], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """(matched words, first, end) of the best banded local alignment: text position = template position + diagonal, give or take the band.
 
-    A match scores 2, a gap or mismatch -1. Ties go to the earliest end.
+    A match scores 2, a gap or mismatch -1. Ties go to the earliest end. No
+    alignment crosses a place of the text that is None.
     """
     width = 2 * band + 1
     score, matched, begin = np.zeros((3, width), np.int64)
@@ -76,7 +77,7 @@ def align(template: list[str], words: list[str], diagonal: int, band: int = BAND
         new = []
         for o in range(width):
             j = i + diagonal - band + o
-            if not 0 <= j < len(words):
+            if not 0 <= j < len(words) or words[j] is None:
                 new.append((0, 0, -1))
                 left = (0, 0, -1)
                 continue
@@ -116,6 +117,30 @@ class Scanner:
         self.known = np.array(sorted(self.index), U)
         self.least = least_coverage
 
+    def occurrences(self, template: list[str], words: list[str], left: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+        """(matched words, first, end) of disjoint alignments, from sorted (diagonal, place) hits.
+
+        An alignment finds one span of its band, so what was found is walled off
+        and the hits outside are aligned again, until they find nothing new.
+        """
+        words = list(words)
+        while left:
+            own, reach = set(), None
+            for diagonal, _ in left:
+                if reach is not None and diagonal <= reach:
+                    continue
+                reach = diagonal + BAND
+                matched, first, end = align(template, words, reach - BAND // 2)
+                if matched and matched / len(template) >= self.least:
+                    own.add((-matched, first, end))
+            if not own:
+                return
+            for negative, first, end in sorted(own):
+                if None not in words[first:end]:
+                    words[first:end] = [None] * (end - first)
+                    yield -negative, first, end
+            left = [x for x in left if None not in words[x[1] : x[1] + K]]
+
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, first character, end) of every occurrence; overlapping ones of one license count once, the best."""
         hashes = gram_hashes([w.lower() for w in WORD.findall(text)], self.memo)
@@ -123,26 +148,14 @@ class Scanner:
         if not len(spots):
             return []
         words, places = words_with_places(text)
-        hits: dict[int, set[int]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for at in spots.tolist():
             for t, where in self.index[int(hashes[at])]:
-                hits.setdefault(t, set()).add(at - where)
+                hits.setdefault(t, []).append((at - where, at))
         found = []
-        for t, diagonals in hits.items():
-            own, reach = [], None
-            for diagonal in sorted(diagonals):
-                if reach is not None and diagonal <= reach:
-                    continue
-                reach = diagonal + BAND
-                matched, first, end = align(self.words[t], words, reach - BAND // 2)
-                coverage = matched / len(self.words[t])
-                if matched and coverage >= self.least:
-                    own.append((-matched, first, end))
-            taken: list[tuple[int, int]] = []
-            for negative, first, end in sorted(set(own)):
-                if all(end <= a or first >= b for a, b in taken):
-                    taken.append((first, end))
-                    found.append((self.names[t], -negative / len(self.words[t]), -negative, places[first][0], places[end - 1][1]))
+        for t, left in hits.items():
+            for matched, first, end in self.occurrences(self.words[t], words, sorted(left)):
+                found.append((self.names[t], matched / len(self.words[t]), matched, places[first][0], places[end - 1][1]))
         return sorted(found, key=lambda x: (x[3], x[0]))
 
 

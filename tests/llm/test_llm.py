@@ -217,6 +217,17 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("name", ["mit-notice", "cc-by-nc-4.0-notice", "apache-2.0-notice", "gpl-3.0-notice"])
+@pytest.mark.parametrize("between", ["\n", " and ", " with a few words more "])
+def test_repeated_notices(name, between):
+    notice, scanner = licenses.TEMPLATES[name], licenses.Scanner(licenses.TEMPLATES, 0.8)
+    for times in (1, 2, 3, 6, 50):
+        text = between.join([notice] * times)
+        got = [x for x in scanner.scan(text) if x[0] == name]
+        starts = [i * (len(notice) + len(between)) for i in range(times)]
+        assert got == [(name, 1.0, len(scanner.words[scanner.names.index(name)]), s, s + len(notice.rstrip("."))) for s in starts]
+
+
 def test_warc(spark):
     rows = [(5, "http://a/é x", "<p>one</p>"), (2, None, "<p>one</p>"), (9, "u", None), (7, "u", ""), (1, "u", "ü" * 300_000), (None, "u", "<p>one</p>")]
     index = warc.write_archives(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string")))
