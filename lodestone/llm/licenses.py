@@ -10,6 +10,7 @@ inside a band around that diagonal, and matched coverage and spans are reported.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -32,8 +33,52 @@ TEMPLATES = {
     "gpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
 }
 
+GNU = {"gpl": ("General", "1 2 3"), "lgpl": ("Lesser General", "2.1 3"), "library-gpl": ("Library General", "2"), "agpl": ("Affero General", "3")}
+GNU_DATES = {"gpl-1.0": "February 1989", "gpl-2.0": "June 1991", "gpl-3.0": "29 June 2007", "lgpl-2.1": "February 1999", "lgpl-3.0": "29 June 2007", "library-gpl-2.0": "June 1991", "agpl-3.0": "19 November 2007"}
+CLAUSE_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+CLAUSE_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+NO_WARRANTY = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _common() -> dict[str, str]:
+    """Further licences and versions: short notices, headers, opening or full texts."""
+    out = {
+        "bsd-2-clause": CLAUSE_2 + NO_WARRANTY,
+        "bsd-3-clause": CLAUSE_2 + CLAUSE_3 + NO_WARRANTY,
+        "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "apache-2.0-text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.",
+        "cc0-1.0-text": "Creative Commons Legal Code CC0 1.0 Universal",
+        "cc0-1.0-notice": "Licensed under CC0 1.0 Universal",
+    }
+    for name, title in {"bsd": "BSD", "bsd-2-clause": "BSD 2-Clause", "bsd-3-clause": "BSD 3-Clause", "isc": "ISC", "apache": "Apache", "zlib": "zlib"}.items():
+        out[f"{name}-notice"] = f"Released under the {title} License."
+    for name, title, versions in (("apache", "Apache", "1.0 1.1"), ("mpl", "Mozilla Public", "1.0 1.1 2.0"), ("epl", "Eclipse Public", "1.0 2.0")):
+        for version in versions.split():
+            out[f"{name}-{version}-notice"] = f"Licensed under the {title} License, Version {version}"
+    for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+        for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nd-nc" if version == "1.0" else "by-nc-nd"):
+            out[f"cc-{kind}-{version}-notice"] = f"Licensed under CC {kind.upper()} {version}"
+    for short, (kind, versions) in GNU.items():
+        title, thing = f"GNU {kind} Public License", "library" if short in ("lgpl", "library-gpl") else "program"
+        for version in versions.split():
+            name = f"{short}-{version if '.' in version else version + '.0'}"
+            out[f"{name}-notice"] = f"This work is licensed under the {title}, version {version}."
+            out[f"{name}-notice-2"] = f"Licensed under the {title}, version {version if '.' in version else version + '.0'}"
+            out[f"{name}-header"] = f"This {thing} is free software; you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {title} for more details. You should have received a copy of the {title} along with this {thing}"
+            out[f"{name}-text"] = f"{title} Version {version}, {GNU_DATES[name]} Copyright (C) {GNU_DATES[name].split()[-1]} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    return out
+
+
+TEMPLATES = _common() | TEMPLATES
+
+#: What of a licence a template is: the part of its name after the licence and version.
+KIND = re.compile(r"-(notice|header|text)(?:-\d+)?$")
+
 WORD = re.compile(r"[^\W_]+")
 K, WINDOW, BAND = 3, 2, 8
+Occurrence = tuple[str, float, int, int, int]
+#: Rivals found so far, by templates and least coverage: finding them scans every template.
+RIVALS: dict[tuple, dict[str, list[str]]] = {}
 
 
 def words_with_places(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -103,7 +148,7 @@ def align(template: list[str], words: list[str | None], diagonal: int, band: int
 class Scanner:
     """Templates (of K words at least), their inverted index, and the scan of one text."""
 
-    def __init__(self, templates: dict[str, str], least_coverage: float):
+    def __init__(self, templates: dict[str, str], least_coverage: float, rivals: dict[str, list[str]] | None = None):
         self.names = sorted(templates)
         self.words = [words_with_places(templates[n])[0] for n in self.names]
         if any(len(w) < K for w in self.words):
@@ -116,6 +161,12 @@ class Scanner:
                 self.index.setdefault(int(hashes[at]), []).append((t, at))
         self.known = np.array(sorted(self.index), U)
         self.least = least_coverage
+        self.rivals = rivals
+        if rivals is None:
+            key = (tuple(sorted(templates.items())), least_coverage)
+            if key not in RIVALS:
+                RIVALS[key] = self.find_rivals(templates)
+            self.rivals = RIVALS[key]
 
     def occurrences(self, template: list[str], words: list[str], left: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
         """(matched words, first, end) of disjoint alignments, from sorted (diagonal, place) hits.
@@ -141,8 +192,34 @@ class Scanner:
                     yield -negative, first, end
             left = [x for x in left if None not in words[x[1] : x[1] + K]]
 
-    def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
-        """(license, coverage, matched words, first character, end) of every occurrence; overlapping ones of one license count once, the best."""
+    def find_rivals(self, templates: dict[str, str]) -> dict[str, list[str]]:
+        """For each template the others whose own text is taken for it; notices, headers and texts of one licence are no rivals."""
+        out: dict[str, list[str]] = {}
+        for name, text in templates.items():
+            licence, kind = KIND.sub("", name), KIND.findall(name)
+            for other in {x[0] for x in self.scan_all(text)} - {name}:
+                if KIND.sub("", other) != licence or KIND.findall(other) == kind:
+                    out.setdefault(other, []).append(name)
+        return out
+
+    def scan(self, text: str) -> list[Occurrence]:
+        """(license, coverage, matched words, first character, end) of every occurrence; overlapping ones of one license or of rivals count once, the best."""
+        kept: dict[str, list[tuple[int, int]]] = {}
+        out = []
+        for one in sorted(self.scan_all(text), key=lambda x: (-x[2], -x[1], x[0], x[3])):
+            name, _, _, first, end = one
+            for rival in self.rivals.get(name, ()):
+                spans = kept.get(rival, [])
+                at = bisect.bisect_left(spans, (end, -1))
+                if at and spans[at - 1][1] > first:
+                    break
+            else:
+                bisect.insort(kept.setdefault(name, []), (first, end))
+                out.append(one)
+        return sorted(out, key=lambda x: (x[3], x[0]))
+
+    def scan_all(self, text: str) -> list[Occurrence]:
+        """Every occurrence, those of rivals included."""
         hashes = gram_hashes([w.lower() for w in WORD.findall(text)], self.memo)
         spots = np.flatnonzero(np.isin(hashes, self.known))
         if not len(spots):
@@ -156,7 +233,7 @@ class Scanner:
         for t, left in hits.items():
             for matched, first, end in self.occurrences(self.words[t], words, sorted(left)):
                 found.append((self.names[t], matched / len(self.words[t]), matched, places[first][0], places[end - 1][1]))
-        return sorted(found, key=lambda x: (x[3], x[0]))
+        return found
 
 
 def scan_licenses(docs: DataFrame, keep: list[str], templates: dict[str, str] | None = None, least_coverage: float = 0.8, text_col: str = "text") -> DataFrame:
@@ -165,14 +242,16 @@ def scan_licenses(docs: DataFrame, keep: list[str], templates: dict[str, str] |
     ``coverage`` is the share of the template's words that the alignment
     matches; the span is in characters of the text, end exclusive. A null or
     empty text has none. Repeated rows give repeated results. Every place of
-    every text is looked up: nothing is cut off.
+    every text is looked up: nothing is cut off. Of overlapping occurrences of
+    templates that are taken for each other (versions, variants) the best stays.
     """
     held = dict(TEMPLATES if templates is None else templates)
+    rivals = Scanner(held, least_coverage).rivals
     chosen = docs.where(F.col(text_col).isNotNull()).select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "license string, coverage double, matched_words int, first_char int, end_char int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(held, least_coverage)
+        scanner = Scanner(held, least_coverage, rivals)
         for batch in batches:
             row, found = [], []
             for i, text in enumerate(batch.column("_text")):

@@ -228,6 +228,25 @@ def test_repeated_notices(name, between):
         assert got == [(name, 1.0, len(scanner.words[scanner.names.index(name)]), s, s + len(notice.rstrip("."))) for s in starts]
 
 
+def test_licenses_are_told_apart():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    lines = {
+        "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+        "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+        "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0",
+        "mpl-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0",
+        "bsd-notice": "Released under the BSD License.",
+    }
+    for name, line in lines.items():
+        assert [x[0] for x in scanner.scan(line)] == [name]
+    assert [x[0] for x in scanner.scan(" \n".join(lines.values()))] == list(lines)
+    for name, text in licenses.TEMPLATES.items():
+        found = scanner.scan(text)
+        assert name in {x[0] for x in found if x[1] == 1.0}
+        assert {licenses.KIND.sub("", x[0]) for x in found} == {licenses.KIND.sub("", name)}, name
+
+
 def test_warc(spark):
     rows = [(5, "http://a/é x", "<p>one</p>"), (2, None, "<p>one</p>"), (9, "u", None), (7, "u", ""), (1, "u", "ü" * 300_000), (None, "u", "<p>one</p>")]
     index = warc.write_archives(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string")))
