@@ -10,9 +10,12 @@ samples in RIFF/WAVE and read back through the same sniffing.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,18 +123,56 @@ def _bmp(data: memoryview, at: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if fits else None
 
 
+def _ends(data: memoryview, at: int, mark: bytes) -> Iterator[int]:
+    """Offsets from ``at`` of an end mark, in ascending order."""
+    rest = bytes(data[at:])
+    end = rest.find(mark)
+    while end >= 0:
+        yield end
+        end = rest.find(mark, end + 1)
+
+
+STARTXREF = re.compile(rb"startxref\s+(\d{1,18})\s+$")
+XREF = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
+
+
+@lru_cache(maxsize=1)
+def _pdf_ends(payload: bytes) -> dict[int, int]:
+    """End of the PDF at each start. An end mark belongs to the latest start from which its startxref meets a table or an object.
+
+    A file has a mark for each update; the last one of its own ends it. If none
+    is its own (a wrong startxref), the last one that is no other file's does.
+    """
+    starts, ends, free = [m.start() for m in re.finditer(rb"%PDF-", payload)], {}, []
+    for end in _ends(memoryview(payload), 0, b"%%EOF"):
+        owner = None
+        if found := STARTXREF.search(payload[max(0, end - 64) : end]):
+            at = int(found[1])
+            owner = next((s for s in reversed(starts[: bisect_left(starts, end)]) if s + at < end and XREF.match(payload, s + at, end)), None)
+        if owner is None:
+            free.append(end + 5)
+        else:
+            ends[owner] = end + 5
+    for start in starts:
+        if start not in ends and free and free[-1] > start and b"startxref" in payload[start : free[-1]]:
+            ends[start] = free[-1]
+    return ends
+
+
 def _pdf(data: memoryview, at: int) -> tuple[str, int] | None:
-    end = bytes(data[at:]).rfind(b"%%EOF")
-    return ("application/pdf", end + 5) if end > 0 and b"startxref" in bytes(data[at : at + end]) else None
+    end = _pdf_ends(data.obj).get(at)
+    return None if end is None else ("application/pdf", end - at)
 
 
 def _zip(data: memoryview, at: int) -> tuple[str, int] | None:
-    rest = bytes(data[at:])
-    end = rest.rfind(b"PK\x05\x06")
-    if end < 0 or len(rest) < end + 22:
-        return None
-    length, start, note = struct.unpack_from("<IIH", rest, end + 12)
-    return ("application/zip", end + 22 + note) if start + length == end and rest[start : start + 4] == b"PK\x01\x02" and end + 22 + note <= len(rest) else None
+    size = len(data) - at
+    for end in _ends(data, at, b"PK\x05\x06"):
+        if size < end + 22:
+            return None
+        length, start, note = struct.unpack_from("<IIH", data, at + end + 12)
+        if start + length == end and bytes(data[at + start : at + start + 4]) == b"PK\x01\x02" and end + 22 + note <= size:
+            return "application/zip", end + 22 + note
+    return None
 
 
 def _flac(data: memoryview, at: int) -> tuple[str, int] | None:
