@@ -1,4 +1,4 @@
-"""Retrieval quality: metric means against thresholds, refusal rate, recall."""
+"""Retrieval quality: metric means against thresholds, recall."""
 
 from __future__ import annotations
 
