@@ -20,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import pieces
+from lodestone.llm.pieces import SPECIAL
 from lodestone.llm.storage import PublishedFile, RangeReader, make_folder, materialise, new_folder
+from lodestone.llm.wordbpe import byte_characters
 
 FOOTER = struct.Struct("<QQQQQQBI4s")
 MAGIC = b"LST2"
@@ -162,83 +165,60 @@ class ShardReader:
 
 
 class LibraryEncoder:
-    """Encodes by the tokenizers library; results of white-space words are remembered within a bound.
+    """Encodes by the tokenizers library; ids of split pieces are remembered within a bound.
 
-    Words are separated by white space, across which neither the normaliser,
-    the splitter nor the merges reach: a text's ids are those of its words.
-    Texts with special tokens' strings or unusual characters go to the library whole.
+    The merges reach across neither white space nor the splitter's pieces: a
+    text's ids are those of its pieces, and the library's model is asked once
+    for each piece that isn't remembered. Texts with special tokens' strings or
+    unusual characters go to the library whole.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
-        import regex
+    def __init__(self, path: str, remember: int = 1_000_000):
+        import re
+
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = regex.compile("|".join(regex.escape(x.content) for x in self.library.get_added_tokens_decoder().values()) or r"(?!)")
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.remember = remember
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.older_pieces: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.special = re.compile("|".join(re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()) or r"(?!)")
+        self.unsettled = pieces.unsettled_pattern()
+        self.characters = str.maketrans({b: c for b, c in enumerate(byte_characters())})
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
-        self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
-        for token, i in self.library.get_vocab().items():
-            self.ends_word[i] = token.endswith("</w>")
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        parts = [[w] if w.isalpha() else self.pattern.findall(w) for w in words]
-        if len(self.pieces) > self.remember:
-            self.older_pieces, self.pieces = self.pieces, {}
-        missing = []
-        for p in {p for found in parts for p in found}:
-            if p not in self.pieces:
-                if (held := self.older_pieces.get(p)) is not None:
-                    self.pieces[p] = held
-                else:
-                    missing.append(p)
-        for start in range(0, len(missing), 2000):
-            part = missing[start : start + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(part):
-                raise ValueError("the library splits words otherwise than expected")
-            packed, begin = ids.tobytes(), 0
-            for piece, end in zip(part, (ends * self.width).tolist(), strict=True):
-                self.pieces[piece] = packed[begin:end]
-                begin = end
-        for w, found in zip(words, parts, strict=True):
-            self.words[w] = b"".join(map(self.pieces.__getitem__, found))
+        self.table = pieces.PieceTable(self.kind, remember)
+
+    def whole(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def resolve(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by the library's model, and of the few whole texts marked as such by the library."""
+        found = []
+        for piece in new:
+            if piece.startswith(SPECIAL):
+                found.append(self.whole(piece[1:].decode()))
+            else:
+                # The model knows each byte by a character of its own.
+                found.append([t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.characters))])
+        return np.array([i for ids in found for i in ids], self.kind), np.fromiter(map(len, found), np.int64, len(found))
+
+    def units(self, text: str) -> list[str | list[bytes]]:
+        if (not text.isascii() and self.unsettled.search(text)) or "<|" in text and self.special.search(text):
+            return [[SPECIAL + text.encode()]]
+        return [pieces.normalised(text)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text's ids); call with texts of bounded size together."""
+        return pieces.encode([self.units(t) for t in texts], self.table, self.resolve)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as unsigned integers of ``width`` bytes."""
-        split: list[list[str] | bytes] = []
-        wanted: set[str] = set()
-        for text in texts:
-            if (not text.isascii() and UNUSUAL.search(text)) or CONTROL.search(text) or "<|" in text and self.special.search(text):
-                split.append(self._pack(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids))
-            else:
-                split.append(found := text.lower().split())
-                wanted.update(found)
-        if len(self.words) > self.remember:
-            self.older, self.words = self.words, {}
-        missing = []
-        for w in wanted:
-            if w not in self.words:
-                if (held := self.older.get(w)) is not None:
-                    self.words[w] = held
-                else:
-                    missing.append(w)
-        if missing:
-            self._learn(missing)
-        get = self.words.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in split]
+        out = []
+        for start, stop in pieces.batches(texts):
+            ids, offsets = self.encode(texts[start:stop])
+            out += [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -247,15 +227,6 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def _compile():
-    import re
-
-    # Latin letters that are their own NFC form and lower-case by themselves, general punctuation, white space.
-    return re.compile("[^\x00-\xffĀ-įı-ňŊ-ſ -⁯€]"), re.compile("[\x1c-\x1f]")
-
-
-UNUSUAL, CONTROL = _compile()
-
 MANIFEST = "path string, block int, first_id long, docs_before long, tokens_before long, shard_docs long, shard_tokens long"
 
 
@@ -283,16 +254,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col
             if encoder is None:
                 encoder = library_encoder(tokenizer)
                 end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                coded = encoder.encode_batch(part.column(1).to_pylist())
-                for doc_id, ids in zip(part.column(0).to_pylist(), coded, strict=True):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for start, stop in pieces.batches(texts):
+                ids, offsets = encoder.encode(texts[start:stop])
+                for doc_id, a, b in zip(keys[start:stop], offsets[:-1], offsets[1:], strict=True):
                     if shard is None:
                         shard = Shard(folder, encoder.width)
-                    shard.add(doc_id, ids + end)
-                if shard is not None and shard.file.position >= SHARD_BYTES:
-                    yield finish()
-                    shard = None
+                    shard.add(doc_id, ids[a:b].tobytes() + end)
+                    if shard.file.position >= SHARD_BYTES:
+                        yield finish()
+                        shard = None
         if shard is not None:
             yield finish()
 
