@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,46 +13,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.wordbpe import WordBPE, build_lexicon, default_tokenizer, normalised_words, worker_encoder
+from lodestone.llm import pieces
+from lodestone.llm.pieces import SPECIAL
+from lodestone.llm.wordbpe import WordBPE, build_lexicon, default_tokenizer, worker_encoder
 
 LEXICON_WORDS = 32_768
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts; words are normalised and cut at white space. Null texts have none."""
+def word_counts(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text") -> DataFrame:
+    """(word, n) over all texts: pieces as the tokenizer splits them, in UTF-8. Null texts have none, and special tokens count as words."""
+    tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        encoder = worker_encoder(tokenizer, None)
+        held: list[pa.Table] = []
 
-        def out():
-            words = list(counts)
-            ready = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], names=["word", "n"])
-            counts.clear()
-            return ready
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(normalised_words(text.as_py()))
-            if len(counts) > 200_000:
-                yield out()
-        if counts:
-            yield out()
+            texts = batch.column(0).to_pylist()
+            for start, stop in pieces.batches(texts):
+                units = [u for t in texts[start:stop] for u in encoder.units(t)]
+                found, _ = pieces.split([u for u in units if isinstance(u, str)])
+                others = pa.array([p for u in units if not isinstance(u, str) for p in u], pa.binary())
+                counts = pa.concat_arrays([found, others]).value_counts()
+                held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+            if sum(t.num_rows for t in held) > 1_000_000:
+                held = [summed()]
+                if held[0].num_rows > 500_000:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from summed().to_batches()
 
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> list[str]:
+def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
     """The ``most`` most frequent words, ties by word: the bound of what is collected. Single occurrences teach nothing."""
-    top = word_counts(docs, text_col).where("n > 1 and length(word) <= 64").orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in top.toLocalIterator()]
+    top = word_counts(docs, tokenizer, text_col).where(F.col("n") > 1).where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(most)
+    return [bytes(r["word"]) for r in top.toLocalIterator()]
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = LEXICON_WORDS) -> bytes:
-    """Transducer of the split pieces of the corpus's frequent words: bounded by ``most`` words of 64 characters."""
+    """Transducer of the corpus's frequent split words: bounded by ``most`` words of 64 bytes."""
     bpe = WordBPE(tokenizer)
-    pieces = sorted({p for w in frequent_words(docs, text_col, most) for p in bpe.split(w)})
-    return build_lexicon({p: i.tolist() for p, i in zip(pieces, bpe.merge_words(pieces), strict=True)})
+    words = sorted(w for w in frequent_words(docs, tokenizer, text_col, most) if not w.startswith(SPECIAL))
+    ids, size = bpe.merge_words(words)
+    ends = np.cumsum(size)
+    return build_lexicon({w: ids[e - n : e].tolist() for w, e, n in zip(words, ends, size, strict=True)})
 
 
 CODED = "ids array<int>, decoded string"
@@ -76,17 +85,23 @@ def encode_decode(docs: DataFrame, keep: list[str], tokenizer: str | None = None
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else CODED
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), more])
 
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer, shared.value)
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                coded = [np.frombuffer(x, "<u4") for x in encoder.encode_batch(part.column("_text").to_pylist())]
+            texts = batch.column(len(keep)).to_pylist()
+            for start, stop in pieces.batches(texts):
+                ids, offsets = encoder.encode(texts[start:stop])
+                decoded = encoder.decode_batch(ids, offsets)
                 if digests:
-                    made = [pa.array([len(x) for x in coded], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array([hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in coded])]
+                    made = [
+                        pa.array(np.diff(offsets), pa.int64()),
+                        pa.array([hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()),
+                        pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in decoded], pa.string()),
+                    ]
                 else:
-                    made = [pa.array([x.astype(np.int32) for x in coded], pa.list_(pa.int32())), pa.array([encoder.decode(x) for x in coded], pa.string())]
-                names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *made], names=[*keep, *names])
+                    made = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32))), decoded]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in range(len(keep))), *made], schema=pa.schema([*(pa.field(k, batch.column(i).type) for i, k in enumerate(keep)), *(pa.field(n, x.type) for n, x in zip(names, made, strict=True))]))
 
     return chosen.mapInArrow(run, schema)

@@ -4,30 +4,31 @@ Frequent words are compiled, with their token ids, into a minimal acyclic
 transducer: equal suffixes share states, and the number of words below each
 state turns a path into the word's index. The automaton is a flat file that
 workers memory-map. Words that it doesn't hold are merged exactly by rank,
-many at a time in numpy. Word results are remembered within a bound.
+many at a time in numpy, very long ones with a heap. Results are remembered
+within a bound.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import mmap
 import os
 import re
 import struct
 import tempfile
-import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: The tokenizer's split pattern and its white space.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPACE = "\t-\r \x85\xa0  -     　"
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-# Characters whose classes and compositions agree in all Unicode versions in use; texts with others take the library's own normaliser and splitter.
-_UNSETTLED = re.compile("[^\x00-\u024f\u0370-\u052f\u1e00-\u1eff\u2000-\u206f\u20ac\u3000-\u3098\u309b-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
-_SPLIT = re.compile(f"[{SPACE}]+")
+from lodestone.llm import pieces
+from lodestone.llm.pieces import PATTERN, SPECIAL
 
+#: Words of more bytes are merged one by one with a heap, in time n log n.
+LONG_WORD = 192
+_UNSETTLED = pieces.unsettled_pattern()
 
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself where it is printable, else one from 256 up."""
@@ -61,9 +62,11 @@ class WordBPE:
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        key = left * self.size + right
+        #: One more than the ids, so that a pair with nothing (-1) has a key of its own.
+        self.base = self.size + 1
+        key = left * self.base + right
         order = np.argsort(key, kind="stable")
-        self.keys, self.ranks, self.made = key[order], order, made[order]
+        self.keys, self.ranks, self.made = key[order], order.astype(np.int32), np.append(made, 0).astype(np.int32)
         # A table of the first merge at or after a hash of the pair: one gather instead of a binary search.
         self.none = len(pairs)
         self.slots = 1 << 18
@@ -76,8 +79,7 @@ class WordBPE:
                 slot, tries = (slot + 1) % self.slots, tries + 1
             self.table_key[slot], self.table_at[slot] = k, at
             self.probes = max(self.probes, tries)
-        self.word_pattern = None
-        self.path, self.library, self.byte_of = path, None, {c: b for b, c in enumerate(chars)}
+        self.path, self.library, self.byte_of, self.by_pair = path, None, {c: b for b, c in enumerate(chars)}, None
 
     def library_pieces(self, text: str) -> list[bytes]:
         """Split pieces of a text by the library's normaliser and splitter."""
@@ -91,99 +93,106 @@ class WordBPE:
     def _slot(self, key):
         return (key * 0x9E3779B1 >> 12) % self.slots
 
-    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, merged id) of each pair; rank ``none`` where there is no merge."""
-        key = left * self.size + right
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair's merge, which makes the token ``made[rank]``; ``none`` where there is no merge."""
+        key = left.astype(np.int64) * self.base + right
         at = np.full(len(key), -1, np.int64)
         slot, todo = self._slot(key), np.arange(len(key))
         for _ in range(self.probes):
-            held = self.table_key[slot[todo]]
+            held = self.table_key[slot]
             hit = held == key[todo]
-            at[todo[hit]] = self.table_at[slot[todo[hit]]]
-            todo = todo[~hit & (held != -1)]
+            at[todo[hit]] = self.table_at[slot[hit]]
+            more = ~hit & (held != -1)
+            todo = todo[more]
             if not len(todo):
                 break
-            slot[todo] = (slot[todo] + 1) % self.slots
-        there = at >= 0
-        return np.where(there, self.ranks[at], self.none), np.where(there, self.made[at], 0)
+            slot = (slot[more] + 1) % self.slots
+        return np.where(at >= 0, self.ranks[at], self.none).astype(np.int32)
 
-    def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of split words (UTF-8, not empty), merged exactly by rank, leftmost first."""
+    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each) of split words (UTF-8, not empty), merged exactly by rank, leftmost first."""
         out: list = [None] * len(words)
         by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
         start = 0
         while start < len(by_size):
             width, stop = len(words[by_size[start]]), start
-            limit = max(8, width + width // 2)
-            while stop < len(by_size) and len(words[by_size[stop]]) <= limit and (stop - start) * limit < 2_000_000:
+            if width > LONG_WORD:
+                for i in by_size[start:]:
+                    out[i] = self._merge_long(words[i])
+                break
+            while stop < len(by_size) and len(words[by_size[stop]]) <= width + 1 and (stop - start) * width < 400_000:
                 stop += 1
             self._merge_block(words, by_size[start:stop], out)
             start = stop
-        return out
+        return np.concatenate(out) if out else np.zeros(0, np.int32), np.fromiter(map(len, out), np.int64, len(out))
 
     def _merge_block(self, words: list[bytes], which: list[int], out: list) -> None:
+        """Words of about one length, a row each: every step merges the best pair of each row, so that all rows lose one place."""
         sizes = np.array([len(words[i]) for i in which])
         width, count = int(sizes.max()), len(which)
         flat = np.frombuffer(b"".join(words[i] for i in which), np.uint8)
-        owner = np.repeat(np.arange(count), sizes)
         ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(count), sizes)
         place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
-        ids = np.full((count, width + 1), -1, np.int64)
+        ids = np.full((count, width), -1, np.int32)
         ids[owner, place] = self.inner[flat]
         ids[np.arange(count), sizes - 1] = self.last[flat[ends - 1]]
-        rank = np.full((count, width), self.none, np.int64)
-        made = np.zeros((count, width), np.int64)
-        inside = place + 1 < np.repeat(sizes, sizes)
-        o, p = owner[inside], place[inside]
-        rank[o, p], made[o, p] = self.pair_ranks(ids[o, p], ids[o, p + 1])
-        live, left = np.arange(count), sizes.copy()
-        while len(live):
+        # A shorter row ends with -1, and no merge has that.
+        rank = self.pair_ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(count, width - 1)
+        live, left = np.array(which), sizes
+        while rank.shape[1]:
             at = rank.argmin(axis=1)
-            mine = np.arange(len(live))
-            going = rank[mine, at] < self.none
-            for i in np.flatnonzero(~going):
-                out[which[live[i]]] = ids[i, : left[i]].copy()
-            if not going.any():
-                break
-            live, left, ids, rank, made, at = live[going], left[going], ids[going], rank[going], made[going], at[going]
-            mine = np.arange(len(live))
-            new = made[mine, at]
-            # Close the gap behind the merged pair.
-            columns = np.arange(width)
-            ids[:, :-1] = np.where(columns > at[:, None], ids[:, 1:], ids[:, :-1])
-            rank[:, :-1] = np.where(columns[:-1] > at[:, None], rank[:, 1:], rank[:, :-1])
-            made[:, :-1] = np.where(columns[:-1] > at[:, None], made[:, 1:], made[:, :-1])
-            rank[:, -1] = self.none
-            ids[mine, at] = new
+            rows = np.arange(len(live))
+            best = rank[rows, at]
+            going = best < self.none
+            if not going.all():
+                for i in np.flatnonzero(~going):
+                    out[live[i]] = ids[i, : left[i]]
+                if not going.any():
+                    return
+                live, left, ids, rank, at, best = live[going], left[going], ids[going], rank[going], at[going], best[going]
+                rows = np.arange(len(live))
+            ids[rows, at] = self.made[best]
+            stay = np.ones(ids.shape, bool)
+            stay[rows, at + 1] = False
+            ids = ids[stay].reshape(len(live), -1)
+            stay = np.ones(rank.shape, bool)
+            stay[rows, at] = False
+            rank = rank[stay].reshape(len(live), -1)
             left = left - 1
-            for shift in (-1, 0):
-                spot = at + shift
-                ok = spot >= 0
-                r, s = mine[ok], spot[ok]
-                inner = s + 1 < left[r]
-                rank[r[~inner], s[~inner]] = self.none
-                r, s = r[inner], s[inner]
-                rank[r, s], made[r, s] = self.pair_ranks(ids[r, s], ids[r, s + 1])
-
-    def split(self, word: str) -> list[bytes]:
-        """Split pieces of one normalised word without white space."""
-        if word.isascii() and word.isalpha():
-            return [word.encode()]
-        if self.word_pattern is None:
-            import regex
-
-            self.word_pattern = regex.compile(PATTERN)
-        return [x.encode() for x in self.word_pattern.findall(word)]
-
-
-def normalised_words(text: str) -> list[str]:
-    """White-space separated words of the text in NFC and lower case (each character by itself, as the tokenizer does)."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:
-            text = text.replace("Σ", "σ")
-    text = text.lower()
-    return [w for w in _SPLIT.split(text) if w] if _ODD_SPACE.search(text) else text.split()
+            for spot in (at - 1, at):
+                ok = (spot >= 0) & (spot < rank.shape[1])
+                r, s = rows[ok], spot[ok]
+                rank[r, s] = self.pair_ranks(ids[r, s], ids[r, s + 1])
+        for i, n in enumerate(left):
+            out[live[i]] = ids[i, :n]
+
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """One word by a heap of pairs and linked neighbours; the same merges in the same order."""
+        if self.by_pair is None:
+            self.by_pair = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        ids = self.inner[np.frombuffer(word, np.uint8)].tolist()
+        ids[-1] = int(self.last[word[-1]])
+        n = len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        made, find, size = self.made.tolist(), self.by_pair.get, self.base
+        heap = [(r, i) for i in range(n - 1) if (r := find(ids[i] * size + ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            # An entry is stale if either neighbour has changed since: then the pair's rank is another.
+            if ids[i] < 0 or j < 0 or find(ids[i] * size + ids[j]) != r:
+                continue
+            ids[i], ids[j] = made[r], -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (s := find(ids[i] * size + ids[k])) is not None:
+                    heapq.heappush(heap, (s, i))
+            if (h := before[i]) >= 0 and (s := find(ids[h] * size + ids[i])) is not None:
+                heapq.heappush(heap, (s, h))
+        return np.array([i for i in ids if i >= 0], np.int32)
 
 
 # The lexicon ------------------------------------------------------------------
@@ -292,89 +301,81 @@ class Lexicon:
             live, state, index = live[~done], state[~done], index[~done]
         return found
 
-    def output(self, index: int) -> np.ndarray:
-        return self.ids[self.starts[index] : self.starts[index + 1]]
+    def outputs(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of ids of each) of some words."""
+        size = self.starts[index + 1] - self.starts[index]
+        return self.ids[pieces.ranges(self.starts[index], size)], size
 
 
 class Encoder:
-    """Texts to ids. ``lexicon`` holds split words; None leaves every word to the merges."""
-
-    def __init__(self, bpe: WordBPE, lexicon: Lexicon | None = None, remember: int = 200_000):
-        self.bpe, self.lexicon, self.remember = bpe, lexicon, remember
-        self.pieces: dict[bytes, bytes] = {}
-        self.older_pieces: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+    """Texts to ids. ``lexicon`` holds split pieces; None leaves every piece to the merges."""
+
+    def __init__(self, bpe: WordBPE, lexicon: Lexicon | None = None, remember: int = 1_000_000):
+        self.bpe, self.lexicon = bpe, lexicon
+        self.table = pieces.PieceTable("<u4", remember)
+        self.tokens = pa.array(bpe.tokens, pa.string())
         self.special = re.compile("|".join(re.escape(s) for s in sorted(bpe.special, key=len, reverse=True))) if bpe.special else None
 
-    def _resolve(self, words: set[str], pieces: set[bytes]) -> None:
-        split = {w: self.bpe.split(w) for w in words}
-        needed = {p for parts in split.values() for p in parts} | pieces
-        if len(self.pieces) > self.remember:
-            self.older_pieces, self.pieces = self.pieces, {}
-        missing = []
-        for p in needed:
-            if p not in self.pieces:
-                if (held := self.older_pieces.get(p)) is not None:
-                    self.pieces[p] = held
-                else:
-                    missing.append(p)
-        if self.lexicon is not None and missing:
-            index = self.lexicon.find(missing)
-            for i in np.flatnonzero(index >= 0):
-                self.pieces[missing[i]] = self.lexicon.output(index[i]).astype("<u4").tobytes()
-            missing = [missing[i] for i in np.flatnonzero(index < 0)]
-        for piece, ids in zip(missing, self.bpe.merge_words(missing), strict=True):
-            self.pieces[piece] = ids.astype("<u4").tobytes()
-        for w, parts in split.items():
-            self.words[w] = b"".join(map(self.pieces.__getitem__, parts))
+    def resolve(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces: special ones by name, those of the lexicon from it, all others by the merges."""
+        size = np.zeros(len(new), np.int64)
+        begin = np.zeros(len(new), np.int64)
+        parts, held = [], 0
+
+        def put(which: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+            nonlocal held
+            size[which], begin[which] = count, held + np.cumsum(count) - count
+            parts.append(ids)
+            held += len(ids)
+
+        marked = np.fromiter((p.startswith(SPECIAL) for p in new), bool, len(new))
+        if marked.any():
+            which = np.flatnonzero(marked)
+            put(which, np.array([self.bpe.special[new[i][1:].decode()] for i in which]), np.ones(len(which), np.int64))
+        rest = np.flatnonzero(~marked)
+        if self.lexicon is not None and len(rest):
+            index = self.lexicon.find([new[i] for i in rest])
+            put(rest[index >= 0], *self.lexicon.outputs(index[index >= 0]))
+            rest = rest[index < 0]
+        if len(rest):
+            put(rest, *self.bpe.merge_words([new[i] for i in rest]))
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return ids[pieces.ranges(begin, size)], size
+
+    def units(self, text: str) -> list[str | list[bytes]]:
+        parts: list[str | list[bytes]] = []
+
+        def add(segment: str) -> None:
+            plain = segment.isascii() or not _UNSETTLED.search(segment)
+            parts.append(pieces.normalised(segment) if plain else self.bpe.library_pieces(segment))
+
+        at = 0
+        if self.special is not None and "<|" in text:
+            for m in self.special.finditer(text):
+                add(text[at : m.start()])
+                parts.append([SPECIAL + m[0].encode()])
+                at = m.end()
+        add(text[at:] if at else text)
+        return parts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as unsigned 32-bit integers, offsets of each text's ids); call with texts of bounded size together."""
+        return pieces.encode([self.units(t) for t in texts], self.table, self.resolve)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        plan: list[list] = []
-        wanted: set[str] = set()
-        pieces: set[bytes] = set()
-
-        def add(segment: str) -> list:
-            if not segment.isascii() and _UNSETTLED.search(segment):
-                found = self.bpe.library_pieces(segment)
-                pieces.update(found)
-            else:
-                found = normalised_words(segment)
-                wanted.update(found)
-            return found
+        out = []
+        for start, stop in pieces.batches(texts):
+            ids, offsets = self.encode(texts[start:stop])
+            out += [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return out
 
-        for text in texts:
-            parts: list = []
-            at = 0
-            if self.special is not None and "<|" in text:
-                for m in self.special.finditer(text):
-                    parts += [add(text[at : m.start()]), self.bpe.special[m[0]]]
-                    at = m.end()
-            parts.append(add(text[at:] if at else text))
-            plan.append(parts)
-        if len(self.words) > self.remember:
-            self.older, self.words = self.words, {}
-        missing = set()
-        for w in wanted:
-            if w not in self.words:
-                if (held := self.older.get(w)) is not None:
-                    self.words[w] = held
-                else:
-                    missing.add(w)
-        if missing or pieces:
-            self._resolve(missing, pieces)
-
-        def ids(part) -> bytes:
-            if isinstance(part, int):
-                return struct.pack("<I", part)
-            return b"".join(map((self.pieces if part and isinstance(part[0], bytes) else self.words).__getitem__, part))
-
-        return [ids(parts[0]) if len(parts) == 1 else b"".join(map(ids, parts)) for parts in plan]
+    def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Tokens of each text separated by blanks: the tokenizer has no decoder step that would join them."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.tokens.take(pa.array(ids))), " ")
 
     def decode(self, ids: np.ndarray) -> str:
-        """Tokens separated by blanks: the tokenizer has no decoder step that would join them."""
-        return " ".join(map(self.bpe.tokens.__getitem__, ids.tolist()))
+        return self.decode_batch(ids, np.array([0, len(ids)]))[0].as_py()
 
 
 @functools.lru_cache(maxsize=1)
