@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import ast
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import basename, lines, stem, uuid5
+from lodestone.operators.search import hashed_vector
 
 WINDOW_LINES, OVERLAP_LINES = 100, 20
-UNIT_LINES, LEAST_SPAN, MOST_SPAN = 4, 6, 120
+UNIT_LINES, LEAST_LINES, LEAST_SPAN, MOST_SPAN = 4, 12, 6, 120
 MOST_TOKENS = 6000
+#: Patterns of declarations, of import lines and of calls.
 DECLARATION = r"^\s*(?:(?:export|public|private|protected|static|final|async)\s+)*(?:def|class|func|function|fn|struct|interface|impl|trait|type|enum|module|const|let|var|sub|package)\s+([A-Za-z_][A-Za-z0-9_]*)"
 IMPORT_LINE = r"^\s*(?:from\s+\S+\s+import\b|import\b|#include\b|using\b|use\b|require\b|require_relative\b|extern\s+crate\b|package\b)"
 CALL = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("
@@ -79,6 +82,37 @@ def limit_spans(spans: DataFrame, group: str, least: int = LEAST_SPAN, most: int
     return parts.select(group, F.col("_at").alias("start"), F.least(F.col("_at") + F.col("_step"), F.col("end")).alias("end"))
 
 
+def semantic_units(files: DataFrame, path: str = "file_path", text: str = "source_text", unit: int = UNIT_LINES) -> DataFrame:
+    """(path, unit, start, end, n, unit_text): units of lines, half-open, each with its neighbours' lines as text; short files are one unit."""
+    cut = files.select(path, lines(F.col(text)).alias("_lines")).withColumn("n", F.size("_lines")).where("n > 0")
+    starts = F.when(F.col("n") < LEAST_LINES, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1, F.lit(unit)))
+    cut = cut.select(path, "n", "_lines", F.posexplode(starts).alias("unit", "start"))
+    end = F.when(F.col("n") < LEAST_LINES, F.col("n")).otherwise(F.least(F.col("start") + unit, F.col("n")))
+    first = F.greatest(F.col("start") - unit, F.lit(0))
+    around = F.array_join(F.slice("_lines", first + 1, F.least(F.col("start") + 2 * unit, F.col("n")) - first), "\n")
+    return cut.select(path, "unit", "start", end.alias("end"), "n", around.alias("unit_text"))
+
+
+def semantic_spans(files: DataFrame, path: str = "file_path", text: str = "source_text", embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
+    """(path, start, end), half-open lines: cut where the distance of neighbouring units is above the file's 90th percentile, within size limits."""
+    units = semantic_units(files, path, text).withColumn("_vector", embed(F.col("unit_text")))
+    broken = span_breaks(units, path, "unit", "_vector")
+    before = Window.partitionBy(path).orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+    named = broken.withColumn("_span", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
+    return limit_spans(named.groupBy(path, "_span").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(path, "start", "end"), path)
+
+
+def semantic_chunks(files: DataFrame, path: str = "file_path", text: str = "source_text", embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
+    """One row a span that isn't blank, named by its first declaration or by its lines; file_path must name its file alone."""
+    spans = semantic_spans(files, path, text, embed)
+    cut = files.select(path, lines(F.col(text)).alias("_lines"), imports(F.col(text)).alias("imports")).join(spans, path)
+    cut = cut.withColumn("content", F.array_join(F.slice("_lines", F.col("start") + 1, F.col("end") - F.col("start")), "\n")).where(F.col("content").rlike(r"\S"))
+    cut = cut.withColumns({"start_line": F.col("start") + 1, "end_line": F.col("end")}).drop("start", "end", "_lines")
+    place = F.concat(stem(basename(F.col(path))), F.lit("["), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("]"))
+    cut = cut.withColumns({"symbol_name": F.coalesce(declared_name(F.col("content")), place), "symbol_type": F.lit("semantic_chunk")})
+    return cut.withColumn("chunk_id", uuid5(F.concat_ws(":", F.col(path), F.col("start_line").cast("string"), F.col("end_line").cast("string"), F.col("symbol_name"))))
+
+
 def split_oversized(chunks: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
     """Halve chunks by lines until each has at most ``most`` tokens; a single longer line is truncated.
 
@@ -109,33 +143,157 @@ def split_oversized(chunks: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
     return ordered.mapInPandas(run, ordered.schema)
 
 
-def python_units(files: DataFrame, path: str = "file_path", text: str = "source_text") -> DataFrame:
-    """One row for each function and class of Python sources, nested ones too, in preorder.
+#: The kinds of syntax nodes that are chunks, by language.
+NODES = {
+    "python": ["function_definition", "class_definition"],
+    "javascript": ["function_declaration", "class_declaration", "method_definition", "arrow_function", "generator_function_declaration"],
+    "typescript": ["function_declaration", "class_declaration", "method_definition", "interface_declaration", "arrow_function"],
+    "tsx": ["function_declaration", "class_declaration", "method_definition", "interface_declaration", "arrow_function"],
+    "go": ["function_declaration", "method_declaration", "type_declaration"],
+    "java": ["method_declaration", "class_declaration", "interface_declaration"],
+    "rust": ["function_item", "impl_item", "struct_item", "trait_item"],
+    "c": ["function_definition", "struct_specifier"],
+    "cpp": ["function_definition", "class_specifier", "struct_specifier"],
+    "c_sharp": ["method_declaration", "class_declaration", "interface_declaration"],
+    "ruby": ["method", "class", "module"],
+    "php": ["function_definition", "method_declaration", "class_declaration"],
+    "swift": ["function_declaration", "class_declaration"],
+    "kotlin": ["function_declaration", "class_declaration"],
+    "scala": ["function_definition", "class_definition", "object_definition"],
+}
+
+_NAME = r"([A-Za-z_$][\w$]*)"
+_METHOD = rf"(?:[\w<>\[\],.?*&:~]+\s+)*[*&]?{_NAME}\s*\([^;{{}}]*\)[^;{{}}()]*(?=\{{)"
+#: How each kind of node begins, for the outline of languages with braces; the name is the last group that matched.
+HEADS = {
+    "function_declaration": rf"(?:async\s+)?(?:function|func|fun)\s+{_NAME}\s*[<(\[]",
+    "generator_function_declaration": rf"function\s*\*\s*{_NAME}\s*\(",
+    "method_declaration": rf"func\s*\([^)]*\)\s*{_NAME}\s*\(|{_METHOD}",
+    "method_definition": _METHOD,
+    "arrow_function": rf"{_NAME}\s*=\s*(?:async\s*)?(?:\([^()]*\)|\w+)\s*=>\s*(?=\{{)",
+    "type_declaration": rf"type\s+{_NAME}\b",
+    "class_declaration": rf"\bclass\s+{_NAME}",
+    "class_definition": rf"\bclass\s+{_NAME}",
+    "class_specifier": rf"\bclass\s+{_NAME}",
+    "interface_declaration": rf"\binterface\s+{_NAME}",
+    "function_item": rf"\bfn\s+{_NAME}",
+    "impl_item": rf"\bimpl\b(?:\s*<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?{_NAME}",
+    "struct_item": rf"\bstruct\s+{_NAME}",
+    "struct_specifier": rf"\bstruct\s+{_NAME}",
+    "trait_item": rf"\btrait\s+{_NAME}",
+    "object_definition": rf"\bobject\s+{_NAME}",
+}
+_HIDDEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
+_RUBY = re.compile(r"^([ \t]*)(def|class|module)\s+(?:self\.)?([A-Za-z_]\w*[?!]?)", re.M)
+KEYWORD_FUNCTION = rf"\b(?:function|def)\s+{_NAME}"
+Unit = tuple[str, str, int, int, str]
+
+
+def python_outline(source: str) -> list[Unit]:
+    """Functions and classes, nested ones too, in preorder; none if the source doesn't parse, however it fails."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    # The parser ends lines at these alone; a form feed is no end.
+    rows, out, todo = re.split(r"\r\n|\r|\n", source), [], [tree]
+    while todo:
+        node = todo.pop()
+        todo += reversed(list(ast.iter_child_nodes(node)))
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            part = rows[node.lineno - 1 : node.end_lineno]
+            # Columns are counted in bytes.
+            part[-1] = part[-1].encode()[: node.end_col_offset].decode()
+            part[0] = part[0].encode()[node.col_offset :].decode()
+            out.append(("class_definition" if isinstance(node, ast.ClassDef) else "function_definition", node.name, node.lineno, node.end_lineno, "\n".join(part)))
+    return out
+
+
+def python_imports(source: str, most: int = 40) -> list[str]:
+    """Top-level import statements, as they are written."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    return [ast.get_source_segment(source, n) for n in tree.body if isinstance(n, ast.Import | ast.ImportFrom)][:most]
 
-    Files without any, or that don't parse, give no rows: cut those into windows.
+
+def brace_outline(source: str, language: str) -> list[Unit]:
+    """Declarations of a language with braces, in the order of their heads: from the head to the brace that closes its first."""
+    bare = _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    closing, stack = {}, []
+    for m in re.finditer(r"[{}]", bare):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif stack:
+            closing[stack.pop()] = m.end()
+    found: dict[tuple[int, int], Unit] = {}
+    # The pattern of methods meets other heads too: of equal spans the kind that is named first stays.
+    for kind in sorted(NODES[language], key=lambda k: k.startswith("method")):
+        if kind == "function_definition" or language == "php" and kind == "method_declaration":
+            pattern = re.compile(KEYWORD_FUNCTION if language in ("php", "scala") else _METHOD)
+        else:
+            pattern = re.compile(HEADS[kind])
+        for m in pattern.finditer(bare):
+            name = next(g for g in reversed(m.groups()) if g)
+            opened = bare.find("{", m.start() if kind != "arrow_function" else m.end() - 1)
+            ended = bare.find(";", m.end())
+            if name in NO_CALLS or opened < 0 or opened not in closing or 0 <= ended < opened:
+                continue
+            first = m.start() + len(m[0]) - len(m[0].lstrip())
+            span = (first, closing[opened])
+            found.setdefault(span, (kind, name, source.count("\n", 0, first) + 1, source.count("\n", 0, span[1]) + 1, source[slice(*span)]))
+    return [found[s] for s in sorted(found, key=lambda s: (s[0], -s[1]))]
+
+
+def ruby_outline(source: str) -> list[Unit]:
+    """Methods, classes and modules: up to the ``end`` with their own indentation."""
+    out = []
+    for m in _RUBY.finditer(source):
+        last = re.compile(rf"^{m[1]}end\b", re.M).search(source, m.end())
+        if last:
+            first = m.start() + len(m[1])
+            out.append(("method" if m[2] == "def" else m[2], m[3], source.count("\n", 0, first) + 1, source.count("\n", 0, last.end()) + 1, source[first : last.end()]))
+    return out
+
+
+def outline(source: str, language: str) -> list[Unit]:
+    """(kind, name, first line, last line, content) of the declarations that are chunks; none for other languages."""
+    if language not in NODES:
+        return []
+    return python_outline(source) if language == "python" else ruby_outline(source) if language == "ruby" else brace_outline(source, language)
+
+
+def syntax_units(files: DataFrame, path: str = "file_path", text: str = "source_text", language: str | None = None) -> DataFrame:
+    """One row for each declaration of each source, nested ones too; equal spans of a file count once.
+
+    ``language`` is read from the column of that name unless it is given. Files
+    without any declaration, or that don't parse, give no rows: cut those into windows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for name, source in zip(batch[path], batch[text], strict=True):
-                try:
-                    tree = ast.parse(source or "")
-                except (SyntaxError, ValueError):
-                    continue
-                rows, todo = (source or "").splitlines(), [tree]
-                top = [ast.get_source_segment(source, n) for n in tree.body if isinstance(n, ast.Import | ast.ImportFrom)][:40]
-                while todo:
-                    node = todo.pop()
-                    todo += reversed(list(ast.iter_child_nodes(node)))
-                    if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                        kind = "class_definition" if isinstance(node, ast.ClassDef) else "function_definition"
-                        address = f"{name}:{node.lineno}:{node.end_lineno}:{node.name}"
-                        content = "\n".join(rows[node.lineno - 1 : node.end_lineno])[node.col_offset :]
-                        out.append((str(uuid.uuid5(uuid.NAMESPACE_URL, address)), name, node.name, kind, node.lineno, node.end_lineno, content, top))
-            yield pd.DataFrame(out, columns=["chunk_id", "file_path", "symbol_name", "symbol_type", "start_line", "end_line", "content", "imports"])
-
-    return files.select(path, text).mapInPandas(run, "chunk_id string, file_path string, symbol_name string, symbol_type string, start_line int, end_line int, content string, imports array<string>")
+            for name, source, kind_of in zip(batch[path], batch[text], batch["_language"], strict=True):
+                source = source or ""
+                top, seen = python_imports(source) if kind_of == "python" else None, set()
+                for kind, symbol, first, last, content in outline(source, kind_of):
+                    if (first, last, content) not in seen:
+                        seen.add((first, last, content))
+                        out.append((str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}:{first}:{last}:{symbol}")), name, symbol, kind, kind_of, first, last, content, top))
+            yield pd.DataFrame(out, columns=["chunk_id", "file_path", "symbol_name", "symbol_type", "language", "start_line", "end_line", "content", "syntax_imports"])
+
+    chosen = files.select(path, text, (F.col("language") if language is None else F.lit(language)).alias("_language"))
+    units = chosen.mapInPandas(run, "chunk_id string, file_path string, symbol_name string, symbol_type string, language string, start_line int, end_line int, content string, syntax_imports array<string>")
+    # Where the syntax names no import, lines that look like one do.
+    by_line = files.select(F.col(path).alias("file_path"), imports(F.col(text)).alias("imports"))
+    units = units.join(by_line, "file_path")
+    return units.withColumn("imports", F.when(F.size("syntax_imports") > 0, F.col("syntax_imports")).otherwise(F.col("imports"))).drop("syntax_imports")
+
+
+def python_units(files: DataFrame, path: str = "file_path", text: str = "source_text") -> DataFrame:
+    """``syntax_units`` of Python sources."""
+    return syntax_units(files, path, text, "python")
 
 
 def embedding_text(path: Column, kind: Column, symbol: Column, content: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import basename, stem
 
+#: Patterns of citations, and the sentence that refuses.
 STRICT = r"(?U)([\w./\\-]+\.\w+):(\d+)(?:-(\d+))?"
 LENIENT = r"(?U)\b([\w./\\-]+)\[(\d+)(?:-(\d+))?\]"
 REFUSAL = "I don't have enough information in the retrieved context to answer this confidently."
@@ -20,6 +21,14 @@ def extract(answer: Column, pattern: str = STRICT) -> Column:
     return F.coalesce(F.transform(found, lambda x: F.struct(x["path"].alias("path"), x["a"].try_cast("long").alias("first"), F.coalesce(F.nullif(x["b"], F.lit("")).try_cast("long"), x["a"].try_cast("long")).alias("last"))), F.array().cast("array<struct<path:string,first:bigint,last:bigint>>"))
 
 
+def segments(answer: Column, pattern: str = STRICT) -> Column:
+    """array<struct<cited, text>>: an answer as its citations and the texts between them, in order; blank-free joining gives it back."""
+    between = F.split(answer, pattern, -1)
+    cited = F.regexp_extract_all(answer, F.lit(pattern), 0)
+    both = F.flatten(F.transform(between, lambda t, i: F.array(F.struct(F.lit(False).alias("cited"), t.alias("text")), F.struct(F.lit(True).alias("cited"), F.get(cited, i).alias("text")))))
+    return F.filter(both, lambda x: x["text"].isNotNull() & (x["text"] != ""))
+
+
 def validate(answers: DataFrame, answer: str = "answer", chunks: str = "chunks") -> DataFrame:
     """Adds step and valid. ``chunks`` is array<struct<file_path, start_line, end_line>>.
 
@@ -55,6 +64,11 @@ def refuses(answer: Column) -> Column:
     return F.coalesce(F.lower(answer).contains(REFUSAL.lower()), F.lit(False))
 
 
+def refusal_rate(answers: DataFrame, by: list[str], refused: str = "refused") -> DataFrame:
+    """Answers, refusals and their share."""
+    return answers.groupBy(*by).agg(F.count(F.lit(1)).alias("answers"), F.count_if(F.col(refused)).alias("refusals"), F.round(F.count_if(F.col(refused)) / F.count(F.lit(1)), 6).alias("rate"))
+
+
 def outcome(has_chunks: Column, valid1: Column, refusal1: Column, valid2: Column, refusal2: Column) -> Column:
     """What the gate returns: no context, first answer, second answer, or a refusal after one retry."""
     return F.when(~has_chunks, "refused_no_context").when(refusal1, "refused").when(valid1, "answered").when(refusal2, "refused_retry").when(valid2, "answered_retry").otherwise("refused_closed")

@@ -1,12 +1,32 @@
-"""Questions to packed context, as one lazy plan for a whole batch of questions."""
+"""Questions to answers, as one lazy plan for a whole batch of questions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestone.functions.text import words
-from lodestone.operators import ranking, search
+from lodestone.operators import callgraph, citations, ranking, search
+from lodestone.providers import Chat, ExtractiveChat, HashedEmbedder, embedded, scored
+from lodestone.session import saved
+
+SYSTEM = "Answer from the context alone and cite path:first-last."
+
+
+def retrieve(chunks: DataFrame, questions: DataFrame, candidates: int = 100, second: str = "vector", embedder: Callable = HashedEmbedder) -> DataFrame:
+    """Fused rankings (query_id, doc_id, fused, position) of BM25 and of vectors, or of BM25 and term overlap."""
+    lexical = search.bm25_topk(chunks, questions, candidates, text="content")
+    if second == "overlap":
+        other = search.overlap_topk(chunks, questions, candidates, text="content")
+        return search.fuse(lexical, other, most=candidates)
+    vectors = chunks.select("doc_id", embedded(F.col("content"), embedder).alias("v"))
+    asked = questions.select("query_id", embedded(F.col("question"), embedder).alias("v"))
+    # The dense list leads: its order breaks ties.
+    return search.fuse(search.cosine_topk(vectors, asked, candidates), lexical, most=candidates)
 
 
 def ask(chunks: DataFrame, questions: DataFrame, candidates: int = 100, keep: int = ranking.KEEP, budget: int = ranking.BUDGET) -> DataFrame:
@@ -16,11 +36,95 @@ def ask(chunks: DataFrame, questions: DataFrame, candidates: int = 100, keep: in
     query_id, question. The text is joined back only for rows that are kept.
     """
     named = questions.select("query_id", "question")
-    lexical = search.bm25_topk(chunks, named, candidates, text="content")
-    second = search.overlap_topk(chunks, named, candidates, text="content")
-    fused = search.fuse(lexical, second, most=candidates)
+    fused = retrieve(chunks, named, candidates, "overlap")
     about = chunks.select("doc_id", "file_path", "symbol_name", F.size(words(F.col("content"))).alias("tokens"))
     rows = fused.join(about, "doc_id").join(named, "query_id")
     rows = rows.withColumn("score", ranking.boosted(F.col("fused"), F.col("question"), F.col("file_path"), F.col("symbol_name")))
     kept = ranking.cap_per_file(rows, keep)
     return ranking.pack_context(kept, budget).select("query_id", "place", "doc_id", "file_path", "score", "tokens", "running")
+
+
+def reranked(fused: DataFrame, chunks: DataFrame, questions: DataFrame, keep: int = ranking.KEEP, reranker: Callable | None = None) -> DataFrame:
+    """(query_id, doc_id, score, place, file_path): candidates by reranker and exact mentions, with a quota for each file."""
+    rows = fused.select("query_id", "doc_id").join(chunks.select("doc_id", "file_path", "symbol_name", "content"), "doc_id").join(questions.select("query_id", "question"), "query_id")
+    rows = rows.withColumn("document", ranking.rerank_document(F.col("file_path"), F.col("symbol_name"), F.col("content")))
+    if reranker is None:
+        rows = rows.withColumn("score", ranking.overlap_score(F.col("question"), F.col("document")))
+    else:
+        # Rows of a question follow each other, so that one call has one question.
+        rows = scored(rows.repartition("query_id").sortWithinPartitions("query_id"), reranker)
+    rows = rows.withColumn("score", ranking.boosted(F.col("score"), F.col("question"), F.col("file_path"), F.col("symbol_name")))
+    return ranking.cap_per_file(rows.select("query_id", "doc_id", "score", "file_path"), keep)
+
+
+def routed(kept: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, top, expands): the best score of each question, and whether its call graph is asked."""
+    top = ranking.confidence(kept)
+    return questions.join(top, "query_id", "left").select("query_id", F.coalesce("top", F.lit(0.0)).alias("top"), ranking.wants_expansion(F.col("question"), F.coalesce(F.col("search"), F.col("question")), F.coalesce("top", F.lit(0.0))).alias("expands"))
+
+
+def expanded(kept: DataFrame, route: DataFrame, chunks: DataFrame, questions: DataFrame, calls: DataFrame) -> DataFrame:
+    """Kept rows, then what the call graph adds for the questions that are routed there, by its own score.
+
+    ``calls``: chunk_id (a doc_id), seq, file_path, symbol_name and calls of the chunks.
+    """
+    seeds = kept.join(route.where("expands").select("query_id"), "query_id", "left_semi").select("query_id", F.col("doc_id").alias("chunk_id"))
+    near = callgraph.expand(seeds, callgraph.symbols(calls), callgraph.call_sites(calls)).withColumnRenamed("chunk_id", "doc_id")
+    rows = near.join(chunks.select("doc_id", "file_path", "symbol_name", "content"), "doc_id").join(questions.select("query_id", "question"), "query_id")
+    document = ranking.rerank_document(F.col("file_path"), F.col("symbol_name"), F.col("content"))
+    return ranking.append_expanded(kept, rows.select("query_id", "doc_id", ranking.overlap_score(F.col("question"), document).alias("score")))
+
+
+def packed(places: DataFrame, chunks: DataFrame, budget: int = ranking.BUDGET) -> DataFrame:
+    """Adds path, lines, block_text, tokens and the running sum to the rows that fit the budget. Chunks need start_line and end_line."""
+    about = chunks.select("doc_id", "file_path", "start_line", "end_line", ranking.block_text(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("symbol_name"), F.col("content")).alias("block_text"))
+    rows = places.join(about, "doc_id").withColumn("tokens", F.size(words(F.col("block_text"))))
+    return ranking.pack_context(rows, budget)
+
+
+def answered(places: DataFrame, chunks: DataFrame, questions: DataFrame, budget: int = ranking.BUDGET, chat: Callable[[], Chat] = ExtractiveChat) -> DataFrame:
+    """(query_id, answer, outcome): one completion, one more where its citations fail, then a refusal.
+
+    Citations are held against all rows that were found, packed or not.
+    Questions without any row are refused and no model is asked.
+    """
+    context = ranking.context_text(packed(places, chunks, budget), budget)
+    spans = places.join(chunks.select("doc_id", "file_path", "start_line", "end_line"), "doc_id").groupBy("query_id").agg(F.collect_list(F.struct("file_path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))).alias("chunks"))
+    rows = questions.select("query_id", "question").join(context, "query_id", "left").join(spans, "query_id", "left")
+
+    def completed(asked: DataFrame, prompt: Column, name: str) -> DataFrame:
+        """Adds the model's answers; null prompts ask nothing. A step of its own, so that no prompt is sent twice."""
+        rows = asked.withColumn("_prompt", prompt)
+        schema = StructType([*asked.schema.fields, StructField(name, StringType())])
+
+        def run(batches):
+            model = chat()
+            for batch in batches:
+                said = [None if p is None else (model.complete(SYSTEM, p) or "").strip() for p in batch.column("_prompt").to_pylist()]
+                columns = batch.columns[:-1]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string())], names=[*batch.schema.names[:-1], name])
+
+        return rows.mapInArrow(run, schema)
+
+    prompt = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nRetrieved context:\n"), F.col("context"))
+    rows = completed(rows, prompt, "first")
+    rows = citations.validate(rows, "first").withColumn("valid1", F.col("valid")).drop("valid", "step")
+    refusal1 = citations.refuses(F.col("first"))
+    allowed = F.array_join(F.array_sort(F.array_distinct(F.transform("chunks", lambda c: c["file_path"]))), ", ")
+    again = F.when(F.col("context").isNotNull() & ~refusal1 & ~F.col("valid1"), F.concat(prompt, F.lit("\n\nCite only: "), allowed))
+    rows = completed(rows, again, "second")
+    rows = citations.validate(rows, "second").withColumn("valid2", F.col("valid"))
+    result = citations.outcome(F.col("context").isNotNull(), F.col("valid1"), refusal1, F.col("valid2"), citations.refuses(F.col("second")))
+    rows = rows.withColumn("outcome", result)
+    text = F.when(F.col("outcome").isin("answered", "refused"), F.col("first")).when(F.col("outcome").isin("answered_retry", "refused_retry"), F.col("second")).otherwise(citations.REFUSAL)
+    return rows.select("query_id", text.alias("answer"), "outcome")
+
+
+def answer(chunks: DataFrame, questions: DataFrame, calls: DataFrame, chat: Callable[[], Chat] = ExtractiveChat) -> DataFrame:
+    """The whole path for a batch of questions: retrieve, rerank, route, expand, pack, complete and gate.
+
+    Rankings are written between the steps, since several later ones read them.
+    """
+    kept = saved(reranked(retrieve(chunks, questions), chunks, questions), "kept")
+    places = saved(expanded(kept, saved(routed(kept, questions), "route"), chunks, questions, calls), "places")
+    return answered(places, chunks, questions, chat=chat)

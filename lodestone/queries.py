@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import appdata, callgraph, chunking, citations, evaluation, ranking, search
 from lodestone.plans.ask import ask
+from lodestone.registry import QUERIES, SQL, Query, query
 from lodestone.session import importable, table
 from lodestone.sources import files
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 NAMES = ["id_rsa", "server.pem", ".env.example", "secrets.yaml", "credentials.json", "my-private-key.txt", "app.py", "README.md", "main.go", "lib.min.js", "X.PNG", "yarn.lock", "build", "password_utils.py", "view.tsx", "Tool.KT", "id_rsa.example", "a.b.rs", ".gitignore", "core.cpp"]
 
 
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _sql_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -257,12 +242,6 @@ CITED = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()})" for i, (_, _, ok) in enumerate(CITED)) + ") AS t(case_id, valid)")
-def citations_validate(spark, d):
-    rows = spark.createDataFrame([(i, a, c) for i, (a, c, _) in enumerate(CITED)], "case_id int, answer string, chunks array<struct<file_path:string,start_line:int,end_line:int>>")
-    return citations.validate(rows).select("case_id", "valid")
-
-
 @query(
     """WITH b(x) AS (VALUES (true), (false)) SELECT c.x AS has_chunks, v1.x AS valid1, r1.x AS refusal1, v2.x AS valid2, r2.x AS refusal2,
 CASE WHEN NOT c.x THEN 'refused_no_context' WHEN r1.x THEN 'refused' WHEN v1.x THEN 'answered' WHEN r2.x THEN 'refused_retry' WHEN v2.x THEN 'answered_retry' ELSE 'refused_closed' END AS outcome FROM b c, b v1, b r1, b v2, b r2"""
@@ -308,13 +287,6 @@ def eval_verdicts(spark, d):
     return evaluation.verdicts(one("quality", 0.7).unionByName(one("toxic", 0.75)))
 
 
-@query()
-def oversize_split(spark, d):
-    docs = table(importable(spark), d, "documents").where(F.col("text").isNotNull())
-    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("doc").alias("symbol_name"), F.lit(1).alias("start_line"), F.greatest(F.lit(1), F.size(T.lines(F.col("text")))).alias("end_line"), F.col("text").alias("content"), "doc_id")
-    return chunking.split_oversized(chunks, 200).select("doc_id", "chunk_id", "symbol_name", "start_line", "end_line", F.md5("content").alias("content_md5"))
-
-
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def activity_by_day(spark, d):
     from lodestone.streaming.status import activity
@@ -329,8 +301,11 @@ def ask_pipeline(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from lodestone import queries_answer, queries_app, queries_code  # noqa: F401  they register their own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
