@@ -3,14 +3,17 @@
 A document's set holds the hashes of its distinct word shingles. Sets are cut
 into size bands; for the pairs that one band (or two neighbours) can form, a
 Jaccard threshold bounds the symmetric difference by ``k``. The feature domain
-is partitioned into ``n1 > k`` ranges: a pair within the bound agrees on at
-least ``n1 - k`` of them, so each set enumerates the ranges' projections as
-signatures and similar sets share one. Of the ``n1`` projections, ordered by
-size and then by place, a set withholds the ``n1 - k - 1`` smallest: the last
-projection on which two similar sets agree is never withheld by either. ``k``
-may be the set's own bound, from its size and the largest partner that it can
-have in the instance, since a pair keeps to the bounds of both. Empty
-projections are therefore almost never emitted, and no similar pair is lost.
+is partitioned into ``n1`` ranges and each range into ``n2`` parts; a set's
+projections on all subsets of ``m`` parts of one range are its signatures. A
+pair within the bound agrees on some: k differences damage so few parts that at
+least ``agree`` subsets stay whole, so similar sets share one. Where k is small,
+sets are small too, and subsets of two parts keep projections from being nearly
+empty; where it is large, single parts (``n2 = m = 1``) give the fewest
+signatures. Of its projections, ordered by size and then by place, a set
+withholds the ``agree - 1`` smallest: the last projection on which two similar
+sets agree has as many that agree below it, so neither withholds it. ``k`` may be
+the set's own bound, from its size and the largest partner that it can have in
+the instance, since a pair keeps to the bounds of both. No similar pair is lost.
 
 Sets that share a signature form a bucket. Each bucket compares its members
 with one pivot only; what that leaves open after the components are known is
@@ -22,6 +25,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,8 @@ U = np.uint64
 SMALL_BUCKET = 24
 BLOCK_SHINGLES = 2_000_000
 SKETCH_BITS = 2048
+#: Up to this bound, projections are on two parts each: their number grows by half, their sizes too.
+PAIRS_UP_TO = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,6 +81,31 @@ def shingle_set(text: bytes | None, words: int, memo: WordHashes) -> np.ndarray:
     return np.unique(mix(rolled))
 
 
+@dataclass(frozen=True)
+class Family:
+    """Projections on the subsets of ``m`` of the ``n2`` parts of each of ``n1`` ranges."""
+
+    n1: int
+    n2: int
+    m: int
+
+    @property
+    def subsets(self) -> list[tuple[int, ...]]:
+        return list(combinations(range(self.n2), self.m))
+
+    def agree(self, k: int) -> int:
+        """Projections that k differences leave whole at least: what they damage is least useful to them spread evenly, as binomials are convex."""
+        each, more = divmod(k, self.n1)
+        return more * comb(max(0, self.n2 - each - 1), self.m) + (self.n1 - more) * comb(max(0, self.n2 - each), self.m)
+
+
+def family(k: int) -> Family:
+    """Subsets of two of three parts while k is at most PAIRS_UP_TO, else single ranges with some to spare."""
+    if 0 < k <= PAIRS_UP_TO:
+        return Family(k // 2 + 1, 3, 2)
+    return Family(k + 1 + (k + 7) // 7 if k else 1, 1, 1)
+
+
 @dataclass(frozen=True)
 class PartEnum:
     """Bands and partitions for Jaccard >= num/den (0 < num <= den)."""
@@ -81,18 +113,18 @@ class PartEnum:
     num: int
     den: int
 
-    def bands(self, longest: int = 1 << 16) -> tuple[np.ndarray, list[int], list[int]]:
-        """Least size of each band up to that of ``longest`` and the next, with the bound k and the number of ranges n1 of its instance."""
-        least, bound, ranges = [], [], []
+    def bands(self, longest: int = 1 << 16) -> tuple[np.ndarray, list[int], list[Family]]:
+        """Least size of each band up to that of ``longest`` and the next, with the bound k and the family of projections of its instance."""
+        least, bound, families = [], [], []
         low = 1
         while len(least) < 2 or least[-2] <= longest:
             high = low * self.den // self.num
             k = (self.den - self.num) * 2 * high // (self.den + self.num)
             least.append(low)
             bound.append(k)
-            ranges.append(k + 1 + (k + 7) // 7 if k else 1)
+            families.append(family(k))
             low = high + 1
-        return np.array(least), bound, ranges
+        return np.array(least), bound, families
 
     def own_bound(self, n: int, least: int, high: int) -> int:
         """Largest symmetric difference of a set of size n and a similar one of a size up to ``high``; -1 if none reaches ``least``."""
@@ -106,21 +138,34 @@ class PartEnum:
         return self.den * inter >= self.num * (a + b - inter)
 
 
-def signatures(h: np.ndarray, sums: np.ndarray, j: int, k: int, n1: int) -> np.ndarray:
-    """The k + 1 signatures of a sorted set in instance j of n1 ranges; ``sums`` are running sums of its element weights, from 0."""
-    place = (h >> U(32)) * U(n1) >> U(32)
-    start = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
-    end = np.append(start[1:], len(h))
-    count = end - start
-    empty, may_withhold = n1 - len(start), n1 - k - 1
-    place, value = place[start], sums[end] - sums[start]
-    if may_withhold >= empty:
-        rank = count * n1 + place.astype(np.int64)
-        keep = rank >= np.partition(rank, may_withhold - empty)[may_withhold - empty]
-        place, value = place[keep], value[keep]
+def signatures(h: np.ndarray, sums: np.ndarray, j: int, k: int, kind: Family) -> np.ndarray:
+    """The signatures of a sorted set in instance j for the bound k; ``sums`` are running sums of its element weights, from 0."""
+    parts = kind.n1 * kind.n2
+    withheld = kind.agree(k) - 1
+    place = (h >> U(32)) * U(parts) >> U(32)
+    if kind.n2 > 1:
+        begin = np.searchsorted(place, np.arange(parts + 1, dtype=U))
+        count, value = np.diff(begin).reshape(kind.n1, kind.n2), np.diff(sums[begin]).reshape(kind.n1, kind.n2)
+        chosen = np.array(kind.subsets)
+        count, value = count[:, chosen].sum(axis=2).ravel(), np.add.reduce(value[:, chosen], axis=2).ravel()
+        place = np.arange(len(count), dtype=U)
+        if withheld:
+            rank = count * len(count) + np.arange(len(count))
+            keep = rank >= np.partition(rank, withheld)[withheld]
+            place, value = place[keep], value[keep]
     else:
-        missing = np.setdiff1d(np.arange(n1, dtype=U), place)[may_withhold:]
-        place, value = np.concatenate((place, missing)), np.concatenate((value, np.zeros(len(missing), U)))
+        start = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
+        end = np.append(start[1:], len(h))
+        count = end - start
+        empty = parts - len(start)
+        place, value = place[start], sums[end] - sums[start]
+        if withheld >= empty:
+            rank = count * parts + place.astype(np.int64)
+            keep = rank >= np.partition(rank, withheld - empty)[withheld - empty]
+            place, value = place[keep], value[keep]
+        else:
+            missing = np.setdiff1d(np.arange(parts, dtype=U), place)[withheld:]
+            place, value = np.concatenate((place, missing)), np.concatenate((value, np.zeros(len(missing), U)))
     return mix(value + mix(place * U(0x9E3779B97F4A7C15) + U(j * 0xC2B2AE3D27D4EB4F % (1 << 64))))
 
 
@@ -133,6 +178,7 @@ def _sketch(words: int, num: int, den: int):
         memo, rule, reach = WordHashes(), PartEnum(num, den), 1 << 16
         least, bound, ranges = rule.bands(reach)
         seen: set[tuple[int, int]] = set()
+        given = 0
         schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("c", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("d2", pa.int64())])
 
         def out(key, n, c, doc_id=None, th=None, d2=None):
@@ -176,7 +222,9 @@ def _sketch(words: int, num: int, den: int):
                     keys, sizes, classes, waiting = [], [], [], 0
             if waiting:
                 yield out(np.concatenate(keys).view(np.int64), np.concatenate(sizes), np.concatenate(classes).view(np.int64))
-            spread = mix(batch.column(0).fill_null(0).to_numpy().astype(np.int64).view(U) + U(1))
+            # Rows of documents go anywhere: by their number here, so that neither null nor repeated ids meet.
+            spread = mix(np.arange(given, given + len(texts), dtype=np.int64).view(U) + U(1))
+            given += len(texts)
             yield out(spread.view(np.int64), docs_n, docs_c.view(np.int64), batch.column(0), batch.column(2), docs_d.view(np.int64))
 
     return run

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and awkward rows."""
 
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -90,9 +91,9 @@ def test_jaccard_awkward_rows(spark, empty):
 def test_partenum_loses_no_pair():
     rng = np.random.default_rng(1)
     rule = ngram_join.PartEnum(85, 100)
-    least, bound, ranges = rule.bands()
+    least, bound, families = rule.bands()
     for _ in range(300):
-        n = int(rng.integers(1, 400))
+        n = int(rng.integers(1, 400 if rng.random() < 0.5 else 50))
         a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
         drop = int(n * 0.15 * rng.random())
         b = np.concatenate([a[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 12) + 1)), dtype=np.uint64)])
@@ -103,13 +104,15 @@ def test_partenum_loses_no_pair():
         for h in (a, b):
             sums = np.concatenate(([np.uint64(0)], np.cumsum(ngram_join.mix(h + np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
             band = int(np.searchsorted(least, len(h), "right")) - 1
-            made.append({int(s) for j in (band, band + 1) for s in ngram_join.signatures(h, sums, j, bound[j], ranges[j])})
+            made.append({int(s) for j in (band, band + 1) for s in ngram_join.signatures(h, sums, j, bound[j], families[j])})
             own = set()
             for j, lowest in ((band, 1), (band + 1, int(least[band + 1]))):
                 k = rule.own_bound(len(h), lowest, int(least[j]) * 100 // 85)
                 if k >= 0:
-                    found = ngram_join.signatures(h, sums, j, min(k, bound[j]), ranges[j])
-                    assert len(found) == min(k, bound[j]) + 1
+                    k = min(k, bound[j])
+                    found, kind = ngram_join.signatures(h, sums, j, k, families[j]), families[j]
+                    assert len(found) == kind.n1 * len(kind.subsets) - kind.agree(k) + 1
+                    assert kind.n2 == 1 and len(found) == k + 1 or kind.n2 == 3
                     own |= {int(s) for s in found}
             made.append(own)
         assert made[0] & made[2] and made[1] & made[3]
@@ -153,11 +156,63 @@ def test_language_awkward_rows(docs):
     assert [got[i] for i in (900, 901, 902, 903, 904)] == ["und", "und", "und", "und", "en"] and len(got) == 245
 
 
-def test_language_pieces(monkeypatch):
-    text = "ábc " * 400
-    whole = np.sort(langid.document_features(text, 15))
-    monkeypatch.setattr(langid, "PIECE", 37)
-    assert (np.sort(langid.document_features(text, 15)) == whole).all()
+def naive_model(rows, bits, smoothing=0.5):
+    """Counts and log-probabilities by loops over characters."""
+    counts, docs_of = {}, {}
+    for text, lang in rows:
+        table = counts.setdefault(lang, [0] * (1 << bits))
+        for f in naive_features(text, bits):
+            table[f] += 1
+        docs_of[lang] = docs_of.get(lang, 0) + 1
+    langs = sorted(counts)
+    logs = [[math.log((c + smoothing) / (sum(counts[x]) + smoothing * (1 << bits))) for c in counts[x]] for x in langs]
+    return langs, logs, [math.log(docs_of[x] / sum(docs_of.values())) for x in langs]
+
+
+def naive_features(text, bits):
+    points = [ord(c) for c in f" {text.lower()} "]
+    for order in langid.ORDERS:
+        for at in range(len(points) - order + 1):
+            h = order * 0x27D4EB2F & 0xFFFFFFFF
+            for i in range(order):
+                h ^= points[at + i] * langid._PRIMES[i] & 0xFFFFFFFF
+                h = (h << 13 | h >> 19) & 0xFFFFFFFF
+                h = h * 5 & 0xFFFFFFFF
+            yield (h * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - bits
+
+
+def test_language_matches_loops(spark, monkeypatch):
+    rng = random.Random(6)
+    letters = {"aa": "abcde éü", "bb": "defgh ß", "cc": "xyzab '", "dd": "日本ab"}
+    rows = [("".join(rng.choices(letters[lang], k=rng.randrange(1, 60))), lang) for lang in rng.choices(sorted(letters), k=120)]
+    rows += [("long " * 300, "aa"), ("a", "bb"), ("123", "cc"), ("", "dd")]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)] + [(900, None, "aa"), (901, "ab", None)], "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(langid, "POINTS", 100)
+    model = langid.train(df, bits=9)
+    taught = [(t, lang) for t, lang in rows if any(c.isalpha() for c in t)]
+    langs, logs, priors = naive_model(taught, 9)
+    assert model[0] == langs and np.allclose(model[1].T, logs, rtol=0, atol=1e-12) and np.allclose(model[2], priors)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, model, ["doc_id"]).collect()}
+    for i, (text, _) in enumerate(rows):
+        if not any(c.isalpha() for c in text):
+            assert got[i] == ("und", 0.0)
+            continue
+        total = [priors[j] + sum(logs[j][f] for f in naive_features(text, 9)) for j in range(len(langs))]
+        best = max(range(len(langs)), key=lambda j: total[j])
+        assert got[i][0] == langs[best] and abs(got[i][1] - 1 / sum(math.exp(t - total[best]) for t in total)) < 1e-9
+    assert got[900] == ("und", 0.0) and got[901][0] in langs
+    texts = [t for t, _ in rows if t]
+    alone = [langid.decide([t], model) for t in texts]
+    together, sure = langid.decide(texts, model)
+    assert together == [a[0][0] for a in alone] and np.allclose(sure, [a[1][0] for a in alone], rtol=0, atol=1e-12)
+
+
+def test_language_edges(spark, empty, monkeypatch):
+    assert langid.predict(empty, langid.train(empty), ["doc_id"]).count() == 0
+    monkeypatch.setattr(langid, "MATRIX", 1 << 12)
+    rows = spark.createDataFrame([(i, f"text of number {chr(97 + i)}", f"l{i:02d}") for i in range(12)], "doc_id long, text string, lang string")
+    langs, matrix, _ = langid.train(rows)
+    assert len(langs) == 12 and matrix.shape == (256, 12)
 
 
 def water_fill(sizes):
@@ -255,7 +310,7 @@ def test_warc(spark):
     assert got[1]["payload"].decode() == "ü" * 300_000 and got[5]["payload_bytes"] == 10 and got[5]["payload_digest"] == warc.payload_digest(b"<p>one</p>")
     place = index.where("page_id = 2").first()
     head, block = warc.read_record(place["path"], place["frame"], place["at"])
-    assert block == b"<p>one</p>" and head["WARC-Record-ID"] == warc.record_uri(2)
+    assert block == b"<p>one</p>" and head["WARC-Record-ID"] == warc.record_uri(2, warc.payload_digest(block))
     nothing = warc.write_archives(warc.plan_records(spark.createDataFrame([], "page_id long, url string, html string")))
     assert warc.read_archives(spark, nothing).count() == 0
 
@@ -397,3 +452,16 @@ def test_token_shards_without_ids(spark, awkward):
     for doc_id, text in ((None, TALE), (2, "")):
         assert sstable.lookup(manifest, doc_id).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 1]
     assert sstable.lookup(manifest, 3) is None
+
+
+def test_partenum_subsets_left_whole():
+    """The least number of whole subsets, by trying every way to damage parts."""
+    from itertools import combinations_with_replacement
+
+    for kind in (ngram_join.Family(1, 3, 2), ngram_join.Family(2, 3, 2), ngram_join.Family(3, 3, 2), ngram_join.Family(2, 4, 2), ngram_join.Family(5, 1, 1)):
+        parts = [(r, p) for r in range(kind.n1) for p in range(kind.n2)]
+        for k in range(5):
+            worst = min(sum(not any((r, p) in hit for p in subset) for r in range(kind.n1) for subset in kind.subsets) for hit in map(set, combinations_with_replacement(parts, k)))
+            assert kind.agree(k) == worst
+    for k in range(1, 40):
+        assert ngram_join.family(k).agree(k) >= 1
