@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of all labelled texts are summed per (language, feature) by Spark; the
-matrix of log-probabilities (languages x 2**bits, bounded) is broadcast, and
-batches of texts are scored as sparse rows in numpy.
+matrix of log-probabilities (2**bits x languages, bounded) is broadcast, and
+batches of texts are scored as sparse rows in numpy: the features of all texts
+are gathered from the matrix at once and summed text by text.
 """
 
 from __future__ import annotations
@@ -17,21 +18,21 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 BITS = 15
 ORDERS = (1, 2, 3)
-PIECE = 1 << 19
+#: Code points that are scored together.
+POINTS = 1 << 19
 #: The most entries of the matrix that is broadcast: 2**24 doubles, 128 MB.
 MATRIX = 1 << 24
 LETTER = r"\p{L}"
 _PRIMES = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 
-def _pieces(text: str) -> Iterator[np.ndarray]:
-    """Code points of the lower-cased text with a blank at either end, in pieces that overlap by the longest n-gram less one."""
-    points = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    for at in range(0, len(points), PIECE):
-        yield points[at : at + PIECE + ORDERS[-1] - 1]
+def points_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, lower-cased, each between blanks, one after the other; the number of each text's)."""
+    padded = [f" {t.lower()} " for t in texts]
+    return np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, padded), np.int64, len(padded))
 
 
-def _features(points: np.ndarray, order: int, bits: int) -> np.ndarray:
+def features(points: np.ndarray, order: int, bits: int) -> np.ndarray:
     """Hashed ids of the n-grams of one order."""
     n = len(points) - order + 1
     if n <= 0:
@@ -44,34 +45,87 @@ def _features(points: np.ndarray, order: int, bits: int) -> np.ndarray:
     return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
 
 
-def _own(points: np.ndarray, order: int, last: bool, bits: int) -> np.ndarray:
-    """The n-grams that start within this piece: overlap belongs to the next."""
-    found = _features(points, order, bits)
-    return found if last else found[:PIECE]
-
-
-def document_features(text: str, bits: int) -> np.ndarray:
-    pieces = list(_pieces(text))
-    return np.concatenate([_own(p, order, i == len(pieces) - 1, bits) for i, p in enumerate(pieces) for order in ORDERS])
+def batch_features(points: np.ndarray, sizes: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features of all texts, number of each text's): n-grams that reach into the next text are left out."""
+    ends = np.cumsum(sizes)
+    inside = np.ones(max(0, len(points) - order + 1), bool)
+    for back in range(1, order):
+        at = ends - back
+        inside[at[at < len(inside)]] = False
+    return features(points, order, bits)[inside], np.maximum(sizes - order + 1, 0)
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of texts of bounded size; a longer text is a run of its own."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        if i > start and held + len(text) > POINTS:
+            yield start, i
+            start, held = i, 0
+        held += len(text) + 2
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def pieces(points: np.ndarray) -> Iterator[np.ndarray]:
+    """One long text's points in pieces that overlap by the longest n-gram less one, with the n-grams that start in each its own."""
+    for at in range(0, len(points), POINTS):
+        yield points[at : at + POINTS + ORDERS[-1] - 1]
+
+
+def scores(texts: list[str], matrix: np.ndarray) -> np.ndarray:
+    """Sums of log-probabilities, a row a text; texts of bounded size together, or a single one of any size."""
+    bits = matrix.shape[0].bit_length() - 1
+    points, sizes = points_of(texts)
+    total = np.zeros((len(texts), matrix.shape[1]))
+    if len(texts) == 1:
+        for part in pieces(points):
+            last = len(part) < POINTS + ORDERS[-1] - 1
+            for order in ORDERS:
+                own = features(part, order, bits)
+                total[0] += np.add.reduce(matrix.take(own if last else own[:POINTS], axis=0), axis=0)
+        return total
+    for order in ORDERS:
+        found, counts = batch_features(points, sizes, order, bits)
+        some = np.flatnonzero(counts)
+        if len(some):
+            begin = (np.cumsum(counts) - counts)[some]
+            total[some] += np.add.reduceat(matrix.take(found, axis=0), begin, axis=0)
+    return total
+
+
+def counted(texts: list[str], bits: int) -> np.ndarray:
+    """How often each feature occurs in some texts."""
+    sums = np.zeros(1 << bits, np.int64)
+    for start, stop in chunks(texts):
+        points, sizes = points_of(texts[start:stop])
+        for order in ORDERS:
+            sums += np.bincount(batch_features(points, sizes, order, bits)[0], minlength=1 << bits)
+    return sums
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = BITS, smoothing: float = 0.5):
     """Model (languages sorted, log-probability matrix 2**bits x languages, log priors) from every labelled text.
 
     Rows whose text or label is null, or whose text has no letter, teach
-    nothing. Without any labelled text the model knows no language.
+    nothing. Without any labelled text the model knows no language. Many
+    languages have fewer features each, so that the matrix keeps its bound.
     """
+    known = docs.where(F.col(lang_col).isNotNull()).agg(F.count_distinct(F.col(lang_col).cast("string"))).first()[0]
+    while known << bits > MATRIX and bits > 8:
+        bits -= 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[str, np.ndarray] = {}
         docs_of: dict[str, int] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                sums = table.get(lang)
-                if sums is None:
-                    sums = table[lang] = np.zeros(1 << bits, np.int64)
-                sums += np.bincount(document_features(text.as_py(), bits), minlength=1 << bits)
-                docs_of[lang] = docs_of.get(lang, 0) + 1
+            texts, of = batch.column(0).to_pylist(), {}
+            for i, lang in enumerate(batch.column(1).to_pylist()):
+                of.setdefault(lang, []).append(texts[i])
+            for lang, own in of.items():
+                sums = counted(own, bits)
+                table[lang] = table[lang] + sums if lang in table else sums
+                docs_of[lang] = docs_of.get(lang, 0) + len(own)
         for lang, sums in table.items():
             there = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(there) + 1)), pa.array(np.append(there, -1), pa.int32()), pa.array(np.append(sums[there], docs_of[lang]), pa.int64())], names=["lang", "feature", "n"])
@@ -85,7 +139,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
     for row in packed:
         sums_of = rows.setdefault(row["lang"], np.zeros(1 << bits))
         if len(rows) << bits > MATRIX:
-            raise ValueError(f"more languages than a matrix of {MATRIX} entries holds; use fewer bits")
+            raise ValueError(f"more languages than a matrix of {MATRIX} entries holds")
         for feature, n in row["counts"]:
             if feature < 0:
                 prior[row["lang"]] = n
@@ -98,29 +152,32 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
     return langs, matrix, priors
 
 
-def _decide(text: str | None, langs: list[str], matrix: np.ndarray, priors: np.ndarray, bits: int) -> tuple[str, float]:
-    """(language, posterior probability) of one text; null means that it can't be told."""
-    if text is None or not langs:
-        return "und", 0.0
-    total = priors.copy()
-    pieces = list(_pieces(text))
-    for i, points in enumerate(pieces):
-        for order in ORDERS:
-            total += np.add.reduce(matrix.take(_own(points, order, i == len(pieces) - 1, bits), axis=0), axis=0)
-    best = int(np.argmax(total))
-    return langs[best], float(1.0 / np.exp(total - total[best]).sum())
+def decide(texts: list[str | None], model) -> tuple[list[str], np.ndarray]:
+    """(language, posterior probability) of each text; null means that it can't be told."""
+    langs, matrix, priors = model
+    labels, sure = ["und"] * len(texts), np.zeros(len(texts))
+    told = [i for i, t in enumerate(texts) if t is not None] if langs else []
+    for start, stop in chunks([texts[i] for i in told]):
+        which = told[start:stop]
+        total = scores([texts[i] for i in which], matrix) + priors
+        best = total.argmax(axis=1)
+        sure[which] = 1.0 / np.exp(total - total[np.arange(len(which)), best][:, None]).sum(axis=1)
+        for i, k in zip(which, best, strict=True):
+            labels[i] = langs[k]
+    return labels, sure
 
 
 def _with_letter(text_col: str):
     return F.when(F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)), F.col(text_col))
 
 
-def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text", bits: int = BITS) -> DataFrame:
+def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` with lang_pred and score, the posterior probability of the prediction.
 
     ``und`` with score 0 where the text is null or has no letter, or the model
     knows no language. Ties go to the language first in code point order. Every
-    text is scored as a whole, by itself: neighbours in a batch don't matter.
+    text is scored as a whole, by itself: neighbours in a batch don't matter. The
+    columns kept may not be named like the two that are added. An empty table gives none.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -128,19 +185,14 @@ def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text", bit
     schema = StructType([*chosen.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, matrix, priors = shared.value
         for batch in batches:
-            label, score = [], []
-            for value in batch.column("_text"):
-                found, sure = _decide(value.as_py(), langs, matrix, priors, bits)
-                label.append(found)
-                score.append(sure)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            label, score = decide(batch.column(len(keep)).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return chosen.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model, least_score: float = 0.5, languages: list[str] | None = None, text_col: str = "text", bits: int = BITS) -> DataFrame:
+def accepted(docs: DataFrame, model, least_score: float = 0.5, languages: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``least_score`` (and is one of ``languages``, if given).
 
     Only texts go to the Python workers, and only decisions come back.
@@ -149,10 +201,7 @@ def accepted(docs: DataFrame, model, least_score: float = 0.5, languages: list[s
 
     @F.arrow_udf("boolean")
     def fits(texts: pa.Array) -> pa.Array:
-        out = []
-        for value in texts:
-            label, score = _decide(value.as_py(), *shared.value, bits)
-            out.append(label != "und" and score >= least_score and (languages is None or label in languages))
-        return pa.array(out, pa.bool_())
+        labels, sure = decide(texts.to_pylist(), shared.value)
+        return pa.array([x != "und" and p >= least_score and (languages is None or x in languages) for x, p in zip(labels, sure, strict=True)], pa.bool_())
 
     return docs.where(fits(_with_letter(text_col)))

@@ -7,19 +7,16 @@ setting is absent (single-machine tests).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.session import shared_folder
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return shared_folder(spark)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
