@@ -6,25 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import words
+from lodestone.session import saved
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 
 
-def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = 100, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", question: str = "question") -> DataFrame:
+def postings(docs: DataFrame, questions: DataFrame, doc_id: str = "doc_id", text: str = "text", question: str = "question") -> DataFrame:
+    """(doc_id, term, len, tf) of the questions' terms, and one row with term '' for each document; written, as several steps read it.
+
+    Texts are read and cut into words once. Only the questions' terms get past
+    the scan: documents are filtered to them before anything is shuffled.
+    """
+    terms = questions.select(F.explode(F.array_append(words(F.col(question)), F.lit(""))).alias("term")).distinct()
+    tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
+    every = tokens.select("doc_id", F.size("w").cast("double").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    return saved(every.join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.first("len").alias("len"), F.count(F.lit(1)).cast("double").alias("tf")), "postings")
+
+
+def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = 100, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", question: str = "question", index: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): documents that share a term with the question, by BM25, ties by id.
 
-    Only the questions' terms are exploded into postings: documents are
-    filtered to them before anything is shuffled.
+    ``index``: the ``postings`` of these documents and questions, if they are there already.
     """
+    index = postings(docs, questions, doc_id, text, question) if index is None else index
     asked = questions.select(query_id, F.explode(F.array_distinct(words(F.col(question)))).alias("term"))
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
-    size = tokens.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("w").cast("double")).alias("mean"))
-    terms = asked.select("term").distinct()
-    postings = tokens.select("doc_id", F.size("w").cast("double").alias("len"), F.explode("w").alias("term")).join(terms, "term", "left_semi")
-    postings = postings.groupBy("doc_id", "term").agg(F.first("len").alias("len"), F.count(F.lit(1)).cast("double").alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    weighted = postings.join(df, "term").join(F.broadcast(size))  # one row
+    found = index.where("term <> ''")
+    size = index.where("term = ''").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("mean"))
+    df = found.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    weighted = found.join(df, "term").join(F.broadcast(size))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("len") / F.col("mean")))
     scored = asked.join(weighted.select("doc_id", "term", weight.alias("weight")), "term").groupBy(query_id, "doc_id").agg(F.round(F.sum("weight"), 5).alias("score"))
@@ -36,15 +46,21 @@ def ranked(scored: DataFrame, query_id: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def overlap_topk(docs: DataFrame, questions: DataFrame, k: int = 100, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", question: str = "question") -> DataFrame:
+def overlap_topk(docs: DataFrame, questions: DataFrame, k: int = 100, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", question: str = "question", index: DataFrame | None = None) -> DataFrame:
     """Share of a question's distinct terms that a document holds: a second, independent ranking."""
+    index = postings(docs, questions, doc_id, text, question) if index is None else index
     asked = questions.select(query_id, F.array_distinct(words(F.col(question))).alias("q")).withColumn("many", F.size("q"))
     asked = asked.select(query_id, "many", F.explode("q").alias("term"))
-    held = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(words(F.col(text)))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    scored = asked.join(held, "term").groupBy(query_id, "doc_id").agg(F.round(F.count(F.lit(1)).cast("double") / F.first("many").cast("double"), 6).alias("score"))
+    scored = asked.join(index.select("doc_id", "term"), "term").groupBy(query_id, "doc_id").agg(F.round(F.count(F.lit(1)).cast("double") / F.first("many").cast("double"), 6).alias("score"))
     return ranked(scored, query_id, k)
 
 
+def lexical_lists(docs: DataFrame, questions: DataFrame, k: int = 100, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Both rankings from one scan of the documents."""
+    index = postings(docs, questions, text=text)
+    return bm25_topk(docs, questions, k, text=text, index=index), overlap_topk(docs, questions, k, text=text, index=index)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

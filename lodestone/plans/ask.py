@@ -19,10 +19,9 @@ SYSTEM = "Answer from the context alone and cite path:first-last."
 
 def retrieve(chunks: DataFrame, questions: DataFrame, candidates: int = 100, second: str = "vector", embedder: Callable = HashedEmbedder) -> DataFrame:
     """Fused rankings (query_id, doc_id, fused, position) of BM25 and of vectors, or of BM25 and term overlap."""
-    lexical = search.bm25_topk(chunks, questions, candidates, text="content")
     if second == "overlap":
-        other = search.overlap_topk(chunks, questions, candidates, text="content")
-        return search.fuse(lexical, other, most=candidates)
+        return search.fuse(*search.lexical_lists(chunks, questions, candidates, "content"), most=candidates)
+    lexical = search.bm25_topk(chunks, questions, candidates, text="content")
     vectors = chunks.select("doc_id", embedded(F.col("content"), embedder).alias("v"))
     asked = questions.select("query_id", embedded(F.col("question"), embedder).alias("v"))
     # The dense list leads: its order breaks ties.

@@ -159,13 +159,13 @@ def bm25_topk(spark, d):
 @query(f"WITH {_BM25} SELECT query_id, doc_id, fused, position::INT AS position FROM fur")
 def rrf_fuse(spark, d):
     docs, q = table(spark, d, "documents"), _questions(spark, d)
-    return search.fuse(search.bm25_topk(docs, q), search.overlap_topk(docs, q)).select("query_id", "doc_id", "fused", "position")
+    return search.fuse(*search.lexical_lists(docs, q)).select("query_id", "doc_id", "fused", "position")
 
 
 @query(f"WITH {_BM25} SELECT query_id, count(*) AS n FROM bmr JOIN ovr USING (query_id, doc_id) GROUP BY 1")
 def rrf_agreement(spark, d):
     docs, q = table(spark, d, "documents"), _questions(spark, d)
-    return search.agreement(search.bm25_topk(docs, q), search.overlap_topk(docs, q))
+    return search.agreement(*search.lexical_lists(docs, q))
 
 
 _KEPT = r"""boost AS (SELECT f.*, d.source AS file_path, lower(split_part(d.text, ' ', 1)) AS symbol, len(regexp_extract_all(lower(d.text), '[\p{L}\p{N}]+')) AS tokens, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}_./-]+\.[\p{L}\p{N}_]+|[\p{L}\p{N}_]{4,}')) AS named FROM fur f JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = f.query_id),
@@ -176,7 +176,7 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY in_file > 5
 
 def _kept(spark, d):
     docs, q = table(spark, d, "documents"), _questions(spark, d)
-    fused = search.fuse(search.bm25_topk(docs, q), search.overlap_topk(docs, q))
+    fused = search.fuse(*search.lexical_lists(docs, q))
     about = docs.select("doc_id", F.col("source").alias("file_path"), F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("symbol"), F.size(T.words(F.col("text"))).alias("tokens"))
     rows = fused.join(about, "doc_id").join(q, "query_id")
     return ranking.cap_per_file(rows.withColumn("score", ranking.boosted(F.col("fused"), F.col("question"), F.col("file_path"), F.col("symbol"))))
