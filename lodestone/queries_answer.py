@@ -8,7 +8,7 @@ from lodestone.operators import citations, ranking
 from lodestone.plans import ask as plan
 from lodestone.providers import OverlapReranker, rewritten, scored
 from lodestone.queries import _BM25, _CALLS_SQL, _LOCAL, CITED, _call_chunks
-from lodestone.queries_code import _VECTOR, _WORDS
+from lodestone.queries_code import _WORDS, _vectors
 from lodestone.registry import query
 from lodestone.session import importable, saved, table
 
@@ -32,8 +32,8 @@ def _chunks(spark, d):
 
 _HYBRID = f"""qs AS (SELECT item_id, {_ASKED} AS text FROM benchmark), dd AS (SELECT * FROM documents WHERE text IS NOT NULL),
 {_BM25.replace('FROM benchmark', 'FROM qs').replace('FROM documents', 'FROM dd')},
-dv AS (SELECT doc_id, {_VECTOR.format(_WORDS.format('text'))} AS v FROM dd), qv AS (SELECT item_id AS query_id, {_VECTOR.format(_WORDS.format('text'))} AS v FROM qs),
-dense AS (SELECT query_id, doc_id, CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0e0 ELSE round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) END AS score FROM dv a, qv b),
+{_vectors('dv', 'dd', 'doc_id', 'text')}, {_vectors('qv', 'qs', 'item_id', 'text')},
+dense AS (SELECT b.key AS query_id, a.key AS doc_id, CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0e0 ELSE round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) END AS score FROM dv a, qv b),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dense QUALIFY rank <= 100),
 hy AS (SELECT query_id, doc_id, a.rank AS ra, b.rank AS rb, round(coalesce(1e0 / (60 + a.rank), 0e0) + coalesce(1e0 / (60 + b.rank), 0e0), 9) AS fused FROM dr a FULL OUTER JOIN bmr b USING (query_id, doc_id)),
 hyr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, ra NULLS LAST, rb NULLS LAST) AS position FROM hy QUALIFY position <= 100)"""

@@ -164,11 +164,21 @@ def embedding_texts(spark, d):
 
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
-_VECTOR = "list_transform(range(64), lambda i: len(list_filter(list_transform({}, lambda w: ('0x' || substr(sha1(w), 1, 8))::BIGINT % 64), lambda p: p = i))::DOUBLE)"
+
+
+def _vectors(name: str, relation: str, key: str, text: str) -> str:
+    """CTEs that end with ``name`` (key, v): words of a relation's text hashed into 64 places and counted."""
+    return f"""{name}_w AS (SELECT {key} AS key, unnest({_WORDS.format(text)}) AS w FROM {relation}),
+{name}_c AS (SELECT key, ('0x' || substr(sha1(w), 1, 8))::BIGINT % 64 AS p, count(*) AS c FROM {name}_w GROUP BY 1, 2),
+{name}_m AS (SELECT key, map_from_entries(list((p, c))) AS m FROM {name}_c GROUP BY 1),
+{name} AS (SELECT {key} AS key, list_transform(range(64), lambda i: coalesce(m[i], 0)::DOUBLE) AS v FROM {relation} LEFT JOIN {name}_m ON {name}_m.key = {key})"""
+
+
 _SPANS = rf"""l AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM documents WHERE length(text) > 0),
 s0 AS (SELECT doc_id, l, len(l) AS n, unnest(CASE WHEN len(l) < 12 THEN [0] ELSE range(0, len(l), 4) END) AS a FROM l),
-u AS (SELECT doc_id, n, a, CASE WHEN n < 12 THEN n ELSE least(a + 4, n) END AS b, {_WORDS.format("array_to_string(l[greatest(a - 4, 0) + 1:least(a + 8, n)], chr(10))")} AS w FROM s0),
-v AS (SELECT doc_id, n, a, b, {_VECTOR.format('w')} AS v FROM u),
+u AS (SELECT doc_id, n, a, doc_id || '/' || a AS unit, CASE WHEN n < 12 THEN n ELSE least(a + 4, n) END AS b, array_to_string(l[greatest(a - 4, 0) + 1:least(a + 8, n)], chr(10)) AS t FROM s0),
+{_vectors("uv", "u", "unit", "t")},
+v AS (SELECT doc_id, n, a, b, v FROM u JOIN uv ON uv.key = u.unit),
 x AS (SELECT *, lead(v) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM v),
 k AS (SELECT doc_id, a, b, CASE WHEN y IS NULL THEN NULL WHEN list_dot_product(v, v) = 0 OR list_dot_product(y, y) = 0 THEN 1e0 ELSE round(1e0 - list_dot_product(v, y) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(y, y))), 9) END AS dist FROM x),
 h AS (SELECT doc_id, round(quantile_cont(dist, 0.9), 9) AS cut FROM k GROUP BY 1),
@@ -238,7 +248,7 @@ def ingest_counters(spark, d):
     return ingest.counters(files, chunking.fixed_windows(files))
 
 
-@query(f"WITH t AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark) SELECT item_id, array_to_string(list_transform({_VECTOR.format('w')}, lambda x: x::BIGINT), ' ') AS vector FROM t")
+@query(f"WITH {_vectors('bv', 'benchmark', 'item_id', 'text')} SELECT key AS item_id, array_to_string(list_transform(v, lambda x: x::BIGINT), ' ') AS vector FROM bv")
 def hashed_vectors(spark, d):
     """The default embedding of every item, batch by batch."""
     rows = table(importable(spark), d, "benchmark").select("item_id", embedded(F.col("text"), HashedEmbedder).alias("v"))
