@@ -4,23 +4,27 @@ Rates minimise their Kullback-Leibler divergence from one copy of each
 document, subject to one token constraint per source and to a most number of
 copies. The convex dual has one multiplier per source; a document of size x
 gets the exponentially tilted rate ``min(most, exp(multiplier * x / scale))``.
-Newton's iterations on the dual run inside the plan: a rate depends on source
-and size only, so each iteration is a sum over the distinct sizes of a source,
-and all iterations share one exchange. Rates are rounded into copies by
-systematic rounding along the sizes, which keeps a source's words within one
-largest document of its target.
+A rate depends on source and size only, so the iterations run over the written
+(source, size) counts: each is one small job, a sum per source, and they stop at
+a stated residual. Rates are rounded into copies by systematic rounding along
+the sizes, which keeps a source's words within one largest document of its target.
 
-DataFrame functions only; nothing is collected.
+DataFrame functions only; of the data, no row but a maximum or a sum is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.ranks import ranked, with_row
+from lodestone.llm.storage import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1 << 20
-PER_TASK = 50_000
+#: A source's words under its rates differ from its target by this many, or this share of it, at most.
+RESIDUAL_WORDS, RESIDUAL_SHARE = 0.25, 1e-11
+MOST_ROUNDS = 400
 
 
 def word_count(text: Column) -> Column:
@@ -33,62 +37,83 @@ def targets(sizes: DataFrame, weights: int = 3, most: int = 3) -> DataFrame:
 
     Sources by code point, null last, weigh 1, 2, ..., ``weights``, repeating.
     They share the sum of all sizes by weight; none gets more than ``most``
-    times its size, and the excess is shared again by weight: the level is
-    found over the sources in the order in which they fill up. There is one row
-    per source here, so the windows over all sources are small.
+    times its size, and the excess is shared again by weight until none is
+    above. Every round is a sum over all sources, in whole numbers.
+    """
+    own = ranked(materialise(sizes, "sources"), [F.col("source").asc_nulls_last()], "sources-by-name")
+    own = materialise(own.withColumn("weight", (F.col("rank") - 1) % weights + 1).withColumn("cap", F.col("source_size") * most).drop("rank"), "weights")
+    level, filled = None, -1
+    while True:
+        over = F.lit(False) if level is None else F.col("weight") * level > F.col("cap")
+        sums = own.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, F.col("cap")).otherwise(0)).alias("caps"), F.sum(F.when(over, 0).otherwise(F.col("weight"))).alias("weights"), F.count_if(over).alias("filled")).first()
+        if sums["all"] is None or sums["filled"] == filled:
+            break
+        filled = sums["filled"]
+        if sums["weights"]:
+            level = (sums["all"] - sums["caps"]) / sums["weights"]
+    target = F.lit(0.0) if level is None else F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level))
+    return own.select("source", "source_size", target.alias("target"))
+
+
+def solve(grid: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """(source, source_size, target, scale, lam): the multipliers that bring each source's words to its target.
+
+    ``grid`` holds (source, size, docs), ``sources`` (source, source_size,
+    target). Newton's steps solve log(words) = log(target), the stationarity of
+    the dual, inside a bracket that halves where a step leaves it. Sources
+    without a target or at their most need no multiplier: theirs is null.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    by_fill = Window.orderBy("full_at", F.col("source").isNull(), "source")
-    ranked = sizes.withColumn("weight", ((F.row_number().over(by_name) - 1) % weights + 1).cast("double"))
-    ranked = ranked.withColumn("cap", F.col("source_size").cast("double") * most).withColumn("full_at", F.col("cap") / F.col("weight"))
-    all_rows = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumn("total", F.sum(F.col("source_size").cast("double")).over(all_rows)).withColumn("all_weight", F.sum("weight").over(all_rows))
-    ranked = ranked.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    # The first source, by fill, that stays below its cap has the level of all that follow.
-    ranked = ranked.withColumn("final", F.first(F.when(F.col("full_at") >= F.col("level"), F.col("level")), ignorenulls=True).over(by_fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return ranked.select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * F.col("final"), F.col("cap"))).alias("target"))
-
-
-def _solve(grid: DataFrame, most: int, rounds: int) -> DataFrame:
-    """Adds ``rate`` to (source, size, docs, scale, target): Newton's steps kept inside a bracket."""
-    own = Window.partitionBy("source")
-    x = F.col("size") / F.col("scale")
-    state = grid.withColumns({"lam": F.lit(0.0), "low": F.lit(-2000.0), "high": F.log(F.lit(float(most))) * F.col("scale") + 1.0})
-    for _ in range(rounds):
-        rate = F.exp(F.col("lam") * x)
-        words = F.col("docs") * F.col("size")
-        state = state.withColumns(
-            {
-                "gap": F.sum(words * F.least(F.lit(float(most)), rate)).over(own) - F.col("target"),
-                "slope": F.sum(F.when(rate < most, words * x * rate).otherwise(0.0)).over(own),
-            }
+    docs = grid.groupBy("source").agg(F.sum("docs").alias("docs"))
+    state = sources.join(docs.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "target", F.greatest(F.lit(1.0), F.col("source_size") / F.col("docs")).alias("scale"))
+    ratio = F.col("target") / F.col("source_size")
+    state = state.withColumn("open", (F.col("target") > 0) & (F.col("target") < F.col("source_size") * most))
+    state = state.withColumns({"lam": F.when(F.col("open"), 0.0), "low": F.when(F.col("open"), F.least(F.lit(0.0), F.log(ratio) * F.col("scale")) - 1.0), "high": F.when(F.col("open"), F.log(F.lit(float(most))) * F.col("scale") + 1.0)})
+    state = materialise(state, "multipliers")
+    own = ["source", "source_size", "target", "scale", "open", "lam", "low", "high"]
+    x, word_sum = F.col("size") / F.col("scale"), F.col("docs") * F.col("size")
+    rate = F.exp(F.col("lam") * x)
+    cells = grid.where("size > 0").select(F.col("source").alias("s"), "size", "docs")
+    for _ in range(MOST_ROUNDS):
+        # The sums of a source's cells are made before they meet its row again: no hot source is in one task.
+        parts = cells.join(state.where("open").select("source", "scale", "lam"), F.col("s").eqNullSafe(F.col("source"))).groupBy("s").agg(
+            F.sum(word_sum * F.least(F.lit(float(most)), rate)).alias("words"), F.sum(F.when(rate < most, word_sum * x * rate).otherwise(0.0)).alias("slope")
         )
-        state = state.withColumns({"low": F.when(F.col("gap") < 0, F.col("lam")).otherwise(F.col("low")), "high": F.when(F.col("gap") > 0, F.col("lam")).otherwise(F.col("high"))})
-        step = F.when(F.col("slope") > 0, F.col("lam") - F.col("gap") / F.col("slope"))
+        met = state.join(parts, F.col("source").eqNullSafe(F.col("s")), "left")
+        gap = F.col("words") - F.col("target")
+        met = met.withColumn("open", F.coalesce(F.abs(gap) > F.greatest(F.lit(RESIDUAL_WORDS), F.col("target") * RESIDUAL_SHARE), F.lit(False)) & (F.col("high") - F.col("low") > F.lit(1e-14) * F.greatest(F.abs("lam"), F.lit(1e-3))))
+        met = met.withColumns({"low": F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), "high": F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))})
+        step = F.when(F.col("slope") > 0, F.col("lam") - (F.log("words") - F.log("target")) * F.col("words") / F.col("slope"))
         middle = (F.col("low") + F.col("high")) / 2
-        state = state.withColumn("lam", F.when(F.col("gap") == 0, F.col("lam")).when((step > F.col("low")) & (step < F.col("high")), step).otherwise(middle))
-    return state.withColumn("rate", F.when(F.col("size") == 0, 1.0).when(F.col("target") >= most * F.col("source_size"), float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.col("lam") * x))))
+        met = met.withColumn("lam", F.when(~F.col("open"), F.col("lam")).when((step > F.col("low")) & (step < F.col("high")), step).otherwise(middle))
+        seen = Observation()
+        state = materialise(met.select(*own).observe(seen, F.max("open").alias("open")), "multipliers")
+        if not seen.get["open"]:
+            return state.drop("open", "low", "high")
+    raise ArithmeticError("the multipliers don't settle")
 
 
-def mix_sources(docs: DataFrame, weights: int = 3, most: int = 3, rounds: int = 32, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: int = 3, most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies, taken, text_hash) of every document.
 
     ``taken = copies * size`` and copies is at most ``most``. A document without
     words has size 0, one copy and takes 0 words; a source without words has
     target 0. Null sources form one source; null ids are kept and repeated rows are
     separate documents. Which of equally sized documents of a source get the
-    extra copy is decided by the md5 of seed and id, so that reruns agree; rows
-    with the same id are told apart by an arbitrary but fixed order of equal rows.
-    Other columns are ignored. An empty table gives none.
+    extra copy is decided by a hash of seed and id, then of the text, so that
+    reruns agree; of rows equal in both any may get it. Other columns are
+    ignored. An empty table gives none.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    base = base.withColumn("h", F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long"))
-    grid = base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs"))
+    text = F.col(text_col)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
+    base = with_row(base.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))), "sizes")
+    # One order serves all: documents of equal source and size follow each other, shuffled.
+    rows = ranked(base, [F.col(c).asc() for c in ("source", "size", "h", "doc_id", "text_hash", "row")], "by-size")
+    grid = materialise(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs"), F.min("rank").alias("first")), "grid")
     sources = targets(grid.groupBy("source").agg(F.sum(F.col("docs") * F.col("size")).alias("source_size")), weights, most)
-    grid = grid.join(sources.select(F.col("source").alias("s2"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    grid = grid.withColumn("scale", F.greatest(F.lit(1.0), F.col("source_size") / F.sum("docs").over(Window.partitionBy("source"))))
-    grid = _solve(grid, most, rounds)
+    solved = solve(grid, sources, most)
+    grid = grid.join(solved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    tilted = F.least(F.lit(float(most)), F.exp(F.col("lam") * F.col("size") / F.col("scale")))
+    grid = grid.withColumn("rate", F.when(F.col("size") == 0, 1.0).when(F.col("lam").isNull(), float(most)).otherwise(tilted))
 
     # Systematic rounding in fixed point: sums are exact, so their order doesn't matter.
     whole = F.floor("rate")
@@ -97,17 +122,10 @@ def mix_sources(docs: DataFrame, weights: int = 3, most: int = 3, rounds: int =
     grid = grid.withColumn("run", F.sum("part").over(upto))
     half = UNIT // 2
     grid = grid.withColumn("extra", F.expr(f"(run + {half}) div {UNIT} - (run - part + {half}) div {UNIT}"))
-    grid = grid.withColumn("slices", F.ceil(F.col("docs") / PER_TASK).cast("int")).select("source", "size", "source_size", "target", "rate", "base", "extra", "slices")
-
-    # Rank equal sizes in slices of the hash, so that a hot size is never in one task.
-    keys = ["source", "size"]
-    tagged = base.alias("d").join(grid.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.size") == F.col("g.size"))).select("d.*", "source_size", "target", "rate", "base", "extra", "slices")
-    tagged = tagged.withColumn("slice", F.shiftright(F.col("h") * F.col("slices"), 32).cast("int"))
-    counts = tagged.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("slice")) - F.col("n"))
-    ranked = tagged.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "slice").orderBy("h", F.col("doc_id").isNull(), "doc_id")))
-    joined = ranked.alias("r").join(counts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.size") == F.col("c.size")) & (F.col("r.slice") == F.col("c.slice")))
-    copies = (F.col("base") + F.when(F.col("rank") + F.col("before") <= F.col("extra"), 1).otherwise(0)).cast("int")
+    grid = materialise(grid.select("source", "size", "first", "source_size", "target", "rate", "base", "extra"), "rates")
+
+    joined = rows.alias("r").join(grid.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")) & (F.col("r.size") == F.col("g.size")))
+    copies = (F.col("base") + F.when(F.col("rank") - F.col("first") < F.col("extra"), 1).otherwise(0)).cast("int")
     return joined.select("r.doc_id", "r.source", "r.size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("r.size")).cast("long").alias("taken"), "r.text_hash")
 
 
