@@ -87,6 +87,23 @@ FROM documents d JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY 1) m O
 """
 
 
+_LITTLE = "printf('%02X%02X%02X%02X', {0} & 255, ({0} >> 8) & 255, ({0} >> 16) & 255, ({0} >> 24) & 255)"
+
+#: The stored file in hexadecimal: a RIFF header that depends on the payload's size alone, then text and padding.
+OP2_SQL = f"""
+WITH t9 AS (SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, {0xEDB88320}::BIGINT) ELSE c >> 1 END, n::BIGINT) AS v FROM range(256) t(n)),
+crc AS (SELECT list(v ORDER BY n) AS t FROM t9),
+b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, length(x) // 2 AS n, x || repeat('FF', CASE WHEN x = '' THEN 576 ELSE (576 - (length(x) // 2) % 576) % 576 END) AS x FROM b),
+s AS (SELECT doc_id, n, (length(x) // 2)::BIGINT AS size, x, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS v FROM p),
+m AS (SELECT *, unhex('52494646' || {_LITTLE.format('(size + 36)')} || '57415645666D7420100000000100010040' || '1F0000401F000001000800' || '64617461' || {_LITTLE.format('size')} || x) AS media FROM s)
+SELECT doc_id, n::BIGINT AS n_bytes, size AS payload_bytes, sha256(unhex(x)) AS payload_sha256,
+  xor(list_reduce(v[size - 31:], lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS tail_crc32,
+  size + 44 AS media_bytes, sha256(media) AS media_sha256,
+  'audio/wav;rate=8000;channels=1;bits=8;frames=' || size || ';mean=' || printf('%.6f', list_sum(v)::DOUBLE / size) || ';rms=' || printf('%.6f', sqrt(list_sum(list_transform(v, lambda y: (y - 128) * (y - 128)))::DOUBLE / size)) || ';crossings=' || list_sum(list_transform(range(1, size), lambda i: ((v[i] < 128) <> (v[i + 1] < 128))::INT)) AS feature,
+  'application/octet-stream' AS declared, 'audio/wav' AS detected, 0 AS embedded FROM m, crc
+"""
+
 #: Base 32 of a SHA-1: each 5 bytes are 8 digits of 5 bits.
 OP6_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -102,11 +119,11 @@ crc AS (SELECT list(v ORDER BY n) AS t FROM t9),
 b AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x, md5('shard:' || coalesce(doc_id::VARCHAR, '')) AS m FROM documents),
 s AS (SELECT doc_id, source, (length(x) // 2 + 1)::BIGINT AS size, ('0x' || substr(m, 1, 8))::BIGINT AS h,
   CASE WHEN x = '' THEN 0 ELSE xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) END AS text_crc32 FROM b, crc),
-f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32) * 2 - 1)::DOUBLE / (count(*) OVER (PARTITION BY source) * 2)::DOUBLE AS fraction FROM s),
+f AS (SELECT *, ((row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32) - 1)::DOUBLE + (('0x' || substr(md5('shard-source:' || coalesce('+' || source, '')), 1, 8))::BIGINT::DOUBLE + 0.5e0) / 4294967296e0) / (count(*) OVER (PARTITION BY source))::DOUBLE AS fraction FROM s),
 p AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, doc_id, text_crc32) - 1 AS position, count(*) OVER () AS n FROM f)
 SELECT doc_id, size, text_crc32, 'rows' AS law, ((position * 8) // n)::INT AS shard, (position - (((position * 8) // n) * n + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard, position FROM p
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op6_warc_bundles": OP6_SQL, "op10_stratified_shards": OP10_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_media_columns": OP2_SQL, "op6_warc_bundles": OP6_SQL, "op10_stratified_shards": OP10_SQL}

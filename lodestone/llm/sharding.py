@@ -1,21 +1,28 @@
 """Sharding by proportional stratified interleaving.
 
 Rows are shuffled by a seeded hash and ranked within their source; the
-fractional rank ``(2 * rank - 1) / (2 * rows of the source)`` spreads every
-source evenly over (0, 1). Sorted by it, any run of rows has the mixture of the
+fractional rank ``(rank - 1 + u) / rows of the source`` spreads every source
+evenly over (0, 1). ``u``, between 0 and 1, is a hash of the source: with one
+for all, sources of a single row would meet in the middle. Sorted by it, any run of rows has the mixture of the
 whole, and cutting the order into equal runs gives shards whose row counts
-differ by one at most. Ranks are counted in slices whose sizes are summed
-first, so neither a hot source nor the global order is ever in one task.
+differ by one at most. Both orders are ranked range by range, so neither a hot
+source nor many small ones nor the global order are ever in one task.
 
-DataFrame functions only; nothing is collected.
+DataFrame functions only; nothing is collected but the number of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_TASK = 50_000
+from lodestone.llm.ranks import ranked, with_row
+from lodestone.llm.storage import materialise
+
+
+def hash_32(seed: str, value: Column) -> Column:
+    """The first 32 bits of the md5 of seed and value."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), value)), 1, 8), 16, 10).cast("long")
 
 
 def interleaved_shards(docs: DataFrame, shards: int = 8, seed: str = "shard", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -30,31 +37,18 @@ def interleaved_shards(docs: DataFrame, shards: int = 8, seed: str = "shard", id
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    base = base.withColumn("h", F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long"))
-    sources = base.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
-    base = base.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "rows")
-    base = base.withColumn("slice", F.expr(f"shiftright(h * cast(ceil(rows / {PER_TASK}) as bigint), 32)"))
-
-    def counted(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-        """Adds ``rank`` from 1 within the keys before the last, which numbers slices in order."""
-        sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        over = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]) if keys[:-1] else Window.orderBy(keys[-1])
-        sums = sums.withColumn("before", F.sum("n").over(over) - F.col("n"))
-        same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-        on = same[0]
-        for one in same[1:]:
-            on = on & one
-        ranked = rows.withColumn("inner", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        return ranked.alias("r").join(sums.alias("c"), on).select("r.*", (F.col("before") + F.col("inner")).alias("rank")).drop("inner")
-
-    ties = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_crc32")]
-    ranked = counted(base, ["source", "slice"], ["h", *ties])
-    ranked = ranked.withColumn("fraction", (F.col("rank") * 2 - 1).cast("double") / (F.col("rows") * 2).cast("double")).drop("rank", "slice")
-    total = base.agg(F.count(F.lit(1)).alias("total"))
-    ranked = ranked.join(F.broadcast(total))  # one row
-    ranked = ranked.withColumn("slice", F.floor(F.col("fraction") * F.ceil(F.col("total") / PER_TASK)).cast("long"))
-    placed = counted(ranked, ["slice"], ["fraction", F.col("source").isNull(), F.col("source"), *ties])
-    placed = placed.withColumn("position", F.col("rank") - 1)
+    base = base.withColumn("h", hash_32(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    base = with_row(base, "shard-rows")
+    last = lambda *names: [F.col(n).asc_nulls_last() for n in names]
+    rows = ranked(base, last("source", "h", "doc_id", "text_crc32", "row"), "by-source")
+    sources = materialise(rows.groupBy("source").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("rows")), "shard-sources")
+    rows = rows.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "first", "rows")
+    offset = (hash_32(seed + "-source", F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit(""))).cast("double") + F.lit(0.5)) / F.lit(float(1 << 32))
+    fraction = ((F.col("rank") - F.col("first")).cast("double") + offset) / F.col("rows").cast("double")
+    rows = materialise(rows.select("doc_id", "source", "size", "text_crc32", "row", fraction.alias("fraction")), "fractions")
+    total = max(1, rows.count())
+    placed = ranked(rows, last("fraction", "source", "doc_id", "text_crc32", "row"), "by-fraction")
+    placed = placed.withColumn("total", F.lit(total)).withColumn("position", F.col("rank") - 1)
     placed = placed.withColumn("shard", F.expr(f"cast((position * {shards}) div total as int)"))
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
     return placed.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("position") - first).cast("long").alias("slot"), "position", F.lit(None).cast("int").alias("grown_shard"))
