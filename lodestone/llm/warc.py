@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.storage import PublishedFile, RangeReader, make_folder, materialise, new_folder
@@ -33,17 +33,18 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_uri(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def record_uri(page_id: int | None, digest: str, copy: int = 1) -> str:
+    """Id of a record: of its page, its payload and, from the second row that shares both on, a number."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}{'' if copy == 1 else f':{copy}'}>"
 
 
-def warc_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def warc_record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, copy: int) -> bytes:
     """One WARC/1.1 record; a revisit keeps the full payload's digest and length in its headers and an empty block."""
-    block = b"" if refers_to is not None else payload
+    block = payload if refers_to is None else b""
     uri = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url or "")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_uri(page_id)}", f"WARC-Target-URI: {uri}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_uri(page_id, digest, copy)}", f"WARC-Target-URI: {uri}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {record_uri(refers_to)}", f"WARC-Profile: {REVISIT}"]
+        head += [f"WARC-Refers-To: {record_uri(refers_to, digest)}", f"WARC-Profile: {REVISIT}"]
     head += ["Content-Type: text/html", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -87,16 +88,27 @@ def read_seek_table(reader: RangeReader) -> list[tuple[int, int, int]]:
 
 
 def plan_records(pages: DataFrame, least_payload: int = 0) -> DataFrame:
-    """(page_id, url, payload, sha1, refers_to): refers_to is null for responses.
+    """(page_id, url, payload, payload_bytes, sha1, refers_to, copy): refers_to is null for responses, payload for revisits.
 
     Of equal payloads of ``least_payload`` bytes or more the smallest page_id
     responds. A null html is an empty payload. A row without page_id always
     responds; of rows that share the smallest page_id each is a response.
+    ``copy`` numbers rows that share page and payload. Other columns are ignored.
+
+    Payloads travel only with rows that respond, dealt by payload and page, so
+    that many copies of one page meet nowhere but as narrow rows.
     """
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
-    first = base.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    revisits = (F.col("page_id") != F.col("first")) & (F.octet_length("payload") >= least_payload)
-    return base.join(first, "sha1").select("page_id", "url", "payload", "sha1", F.when(revisits, F.col("first")).alias("refers_to"))
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("sha1"))
+    shared = F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least_payload)
+    first = base.where(shared).groupBy("sha1").agg(F.min("page_id").alias("first")).withColumnRenamed("sha1", "own")
+    place = F.row_number().over(Window.partitionBy("sha1", "page_id").orderBy("url"))
+    columns = ["page_id", "url", "payload", "payload_bytes", "sha1", "refers_to", "copy"]
+    none = F.lit(None).cast("long").alias("refers_to")
+    lead = base.where(shared).join(first, (F.col("sha1") == F.col("own")) & (F.col("page_id") == F.col("first"))).select("page_id", "url", "payload", "payload_bytes", "sha1", none).withColumn("copy", place)
+    later = base.where(shared).select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "payload_bytes", "sha1").join(first, F.col("sha1") == F.col("own")).where(F.col("page_id") != F.col("first")).withColumn("refers_to", F.col("first")).withColumn("copy", place)
+    alone = base.where(~shared).select("page_id", "url", "payload", "payload_bytes", "sha1", none).withColumn("copy", F.monotonically_increasing_id() + 2)
+    return lead.select(*columns).unionByName(later.select(*columns)).unionByName(alone.select(*columns))
 
 
 MANIFEST = "path string, frame int, page_id long, at int"
@@ -135,20 +147,24 @@ def write_archives(records: DataFrame, level: int = 3, frame_bytes: int = FRAME_
             out, frames, entries = None, [], []
             return ready
 
-        for batch in batches:
-            ids, urls, shas, refers = (batch.column(x).to_pylist() for x in ("page_id", "url", "sha1", "refers_to"))
-            for i, payload in enumerate(batch.column("payload")):
-                digest = base64.b32encode(bytes.fromhex(shas[i])).decode()
-                record = warc_record(ids[i], urls[i], payload.as_py(), digest, refers[i])
-                if held and held + len(record) > frame_bytes:
-                    flush()
-                entries.append((len(frames), ids[i], held))
-                waiting.append(record)
-                held += len(record)
-            if out is not None and out.position >= bundle_bytes and (ready := close()) is not None:
+        try:
+            for batch in batches:
+                ids, urls, sizes, shas, refers, copies = (batch.column(x).to_pylist() for x in ("page_id", "url", "payload_bytes", "sha1", "refers_to", "copy"))
+                for i, payload in enumerate(batch.column("payload")):
+                    digest = base64.b32encode(bytes.fromhex(shas[i])).decode()
+                    record = warc_record(ids[i], urls[i], payload.as_py(), sizes[i], digest, refers[i], copies[i])
+                    if held and held + len(record) > frame_bytes:
+                        flush()
+                    entries.append((len(frames), ids[i], held))
+                    waiting.append(record)
+                    held += len(record)
+                if out is not None and out.position >= bundle_bytes and (ready := close()) is not None:
+                    yield ready
+            if (ready := close()) is not None:
                 yield ready
-        if (ready := close()) is not None:
-            yield ready
+        finally:
+            if out is not None:
+                out.discard()
 
     return materialise(records.mapInArrow(run, MANIFEST), "warc-index")
 
@@ -167,8 +183,8 @@ def read_archives(spark: SparkSession, index: DataFrame, payload: bool = False)
     schema = RECORDS + (", payload binary" if payload else "")
 
     def number(uri: str | None) -> int | None:
-        inner = uri[len("<urn:page:") : -1] if uri else "None"
-        return None if inner == "None" else int(inner)
+        page = uri[len("<urn:page:") : -1].split(":")[0] if uri else ""
+        return int(page) if page else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
