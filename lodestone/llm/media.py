@@ -13,7 +13,6 @@ import hashlib
 import re
 import struct
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,28 +90,38 @@ def _gif(data: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
+@lru_cache(maxsize=1)
+def _jpeg_ends(payload: bytes) -> dict[int, tuple[int, bool] | None]:
+    """By the place of a segment: where the image ends that goes on there, and whether a frame header follows; filled as segments are met."""
+    return {}
+
+
 def _jpeg(data: memoryview, at: int) -> tuple[str, int] | None:
-    place, framed = at + 2, False
-    while place + 4 <= len(data):
-        if data[place] != 0xFF:
-            return None
-        mark, length = data[place + 1], struct.unpack_from(">H", data, place + 2)[0]
-        if mark in (0xD8, 0xD9, 0x00, 0xFF) or length < 2:
-            return None
-        framed |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
+    payload, known = data.obj, _jpeg_ends(data.obj)
+    place, trail, found = at + 2, [], None
+    while place + 4 <= len(payload):
+        if place in known:
+            found = known[place]
+            break
+        mark, length = payload[place + 1], int.from_bytes(payload[place + 2 : place + 4], "big")
+        if payload[place] != 0xFF or mark in (0xD8, 0xD9, 0x00, 0xFF) or length < 2:
+            break
+        trail.append((place, 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)))
         place += 2 + length
         if mark == 0xDA:
-            rest = bytes(data[place:])
-            while (end := rest.find(b"\xff")) >= 0 and end + 1 < len(rest):
-                if rest[end + 1] == 0xD9:
-                    return ("image/jpeg", place + end + 2 - at) if framed else None
-                if not (rest[end + 1] == 0 or 0xD0 <= rest[end + 1] <= 0xD7):
-                    break
-                rest, place = rest[end + 2 :], place + end + 2
-            if end < 0 or end + 1 >= len(rest):
-                return None
-            place += end
-    return None
+            # Coded data: stuffed bytes and restart marks belong to it.
+            place = payload.find(b"\xff", place)
+            while 0 <= place < len(payload) - 1 and (payload[place + 1] == 0 or 0xD0 <= payload[place + 1] <= 0xD7):
+                place = payload.find(b"\xff", place + 2)
+            if place < 0 or place + 1 >= len(payload):
+                break
+            if payload[place + 1] == 0xD9:
+                found = (place + 2, False)
+                break
+    for spot, frame in reversed(trail):
+        found = found and (found[0], found[1] or frame)
+        known[spot] = found
+    return ("image/jpeg", found[0] - at) if found and found[1] else None
 
 
 def _bmp(data: memoryview, at: int) -> tuple[str, int] | None:
@@ -123,17 +132,8 @@ def _bmp(data: memoryview, at: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if fits else None
 
 
-def _ends(data: memoryview, at: int, mark: bytes) -> Iterator[int]:
-    """Offsets from ``at`` of an end mark, in ascending order."""
-    rest = bytes(data[at:])
-    end = rest.find(mark)
-    while end >= 0:
-        yield end
-        end = rest.find(mark, end + 1)
-
-
 STARTXREF = re.compile(rb"startxref\s+(\d{1,18})\s+$")
-XREF = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
+XREF = re.compile(rb"(\s*)(?:(xref)\b|(\d+)\s+\d+\s+obj\b)")
 
 
 @lru_cache(maxsize=1)
@@ -143,18 +143,29 @@ def _pdf_ends(payload: bytes) -> dict[int, int]:
     A file has a mark for each update; the last one of its own ends it. If none
     is its own (a wrong startxref), the last one that is no other file's does.
     """
-    starts, ends, free = [m.start() for m in re.finditer(rb"%PDF-", payload)], {}, []
-    for end in _ends(memoryview(payload), 0, b"%%EOF"):
+    starts, ends, free = np.array([m.start() for m in re.finditer(rb"%PDF-", payload)], np.int64), {}, []
+    # A table or an object is met from its first to its last place, those being white space or digits before it.
+    met = [(m.start(), m.end(1) if m[2] else m.end(3) - 1, m.end()) for m in XREF.finditer(payload)]
+    first, last, done = np.array(met, np.int64).reshape(-1, 3).T
+    reached: dict[int, np.ndarray] = {}
+    for end in (m.start() for m in re.finditer(rb"%%EOF", payload)):
         owner = None
-        if found := STARTXREF.search(payload[max(0, end - 64) : end]):
-            at = int(found[1])
-            owner = next((s for s in reversed(starts[: bisect_left(starts, end)]) if s + at < end and XREF.match(payload, s + at, end)), None)
+        if len(met) and (found := STARTXREF.search(payload[max(0, end - 64) : end])):
+            offset = min(int(found[1]), len(payload))
+            if offset not in reached:
+                at = np.searchsorted(first, starts + offset, "right") - 1
+                # The place where what a start reaches is over, or the payload's end where it reaches nothing.
+                reached[offset] = np.where((at >= 0) & (starts + offset <= last[at]), done[at], len(payload))
+            before = reached[offset][: np.searchsorted(starts, end)] <= end
+            owner = int(starts[len(before) - 1 - before[::-1].argmax()]) if before.any() else None
         if owner is None:
             free.append(end + 5)
         else:
             ends[owner] = end + 5
+    starts = starts.tolist()
+    mark = payload.rfind(b"startxref", 0, free[-1]) if free else -1
     for start in starts:
-        if start not in ends and free and free[-1] > start and b"startxref" in payload[start : free[-1]]:
+        if start not in ends and mark >= start:
             ends[start] = free[-1]
     return ends
 
@@ -164,21 +175,36 @@ def _pdf(data: memoryview, at: int) -> tuple[str, int] | None:
     return None if end is None else ("application/pdf", end - at)
 
 
+@lru_cache(maxsize=1)
+def _zip_ends(payload: bytes) -> dict[int, int]:
+    """End of the archive at each start: an end record says where its directory and so its archive begins; the first that fits a start is its own."""
+    ends: dict[int, int] = {}
+    for end in (m.start() for m in re.finditer(rb"PK\x05\x06", payload)):
+        if end + 22 <= len(payload):
+            length, offset, note = struct.unpack_from("<IIH", payload, end + 12)
+            start = end - length - offset
+            if start >= 0 and payload[start + offset : start + offset + 4] == b"PK\x01\x02" and end + 22 + note <= len(payload):
+                ends.setdefault(start, end + 22 + note)
+    return ends
+
+
 def _zip(data: memoryview, at: int) -> tuple[str, int] | None:
-    size = len(data) - at
-    for end in _ends(data, at, b"PK\x05\x06"):
-        if size < end + 22:
-            return None
-        length, start, note = struct.unpack_from("<IIH", data, at + end + 12)
-        if start + length == end and bytes(data[at + start : at + start + 4]) == b"PK\x01\x02" and end + 22 + note <= size:
-            return "application/zip", end + 22 + note
-    return None
+    end = _zip_ends(data.obj).get(at)
+    return None if end is None else ("application/zip", end - at)
 
 
 def _flac(data: memoryview, at: int) -> tuple[str, int] | None:
-    # The stream has no length of its own: a confirmed file runs to the end of the payload.
-    fits = len(data) - at >= 42 and data[at + 4] & 127 == 0 and int.from_bytes(data[at + 5 : at + 8], "big") == 34
-    return ("audio/flac", len(data) - at) if fits else None
+    # The stream has no length of its own: a file whose metadata leads to a frame runs to the end of the payload.
+    place, first = at + 4, True
+    while place + 4 <= len(data):
+        kind, length = data[place] & 127, int.from_bytes(data[place + 1 : place + 4], "big")
+        if kind == 127 or first and (kind, length) != (0, 34):
+            return None
+        last, place, first = data[place] >> 7, place + 4 + length, False
+        if last:
+            fits = place + 2 <= len(data) and data[place] == 0xFF and data[place + 1] & 0xFE == 0xF8
+            return ("audio/flac", len(data) - at) if fits else None
+    return None
 
 
 #: Magic bytes of the formats, each with its validator.
@@ -224,7 +250,8 @@ def sniff_media(df: DataFrame, payload_col: str, declared_col: str, keep: list[s
 
     A null or empty payload, or one that no validator confirms at offset 0, has
     detected type null and keeps what was declared. Rows are independent:
-    repeated rows give repeated results, and other columns are not read.
+    repeated rows give repeated results, and other columns are not read. Columns
+    kept may not be named ``_payload``, ``_declared`` or like those that are added.
     """
     chosen = df.select(*keep, F.col(payload_col).alias("_payload"), F.col(declared_col).alias("_declared"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[: len(keep)]), MEDIA])
