@@ -250,22 +250,27 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col
             columns = list(zip(*[(path, i, id_of(k), docs, tokens, shard.docs, shard.tokens) for i, (k, _, _, _, docs, tokens) in enumerate(index)], strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["path", "block", "first_id", "docs_before", "tokens_before", "shard_docs", "shard_tokens"])
 
-        for batch in batches:
-            if encoder is None:
-                encoder = library_encoder(tokenizer)
-                end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, stop in pieces.batches(texts):
-                ids, offsets = encoder.encode(texts[start:stop])
-                for doc_id, a, b in zip(keys[start:stop], offsets[:-1], offsets[1:], strict=True):
-                    if shard is None:
-                        shard = Shard(folder, encoder.width)
-                    shard.add(doc_id, ids[a:b].tobytes() + end)
-                    if shard.file.position >= SHARD_BYTES:
-                        yield finish()
-                        shard = None
-        if shard is not None:
-            yield finish()
+        try:
+            for batch in batches:
+                if encoder is None:
+                    encoder = library_encoder(tokenizer)
+                    end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
+                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for start, stop in pieces.batches(texts):
+                    ids, offsets = encoder.encode(texts[start:stop])
+                    for doc_id, a, b in zip(keys[start:stop], offsets[:-1], offsets[1:], strict=True):
+                        if shard is None:
+                            shard = Shard(folder, encoder.width)
+                        shard.add(doc_id, ids[a:b].tobytes() + end)
+                        if shard.file.position >= SHARD_BYTES:
+                            ready, shard = finish(), None
+                            yield ready
+            if shard is not None:
+                ready, shard = finish(), None
+                yield ready
+        finally:
+            if shard is not None:
+                shard.file.discard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -79,6 +79,7 @@ class PublishedFile:
         return self.path
 
     def discard(self) -> None:
+        """Leave nothing behind: the attempt has failed."""
         self._out.close()
         self._fs.delete_file(self._inside + ".part")
 

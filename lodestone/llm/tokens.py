@@ -74,8 +74,10 @@ def encode_decode(docs: DataFrame, keep: list[str], tokenizer: str | None = None
     With ``digests`` the columns are n_tokens, ids_sha256 and decoded_sha256
     instead, made next to the ids so that these need not leave the worker. A
     null text is encoded as an empty one, which has no ids and decodes to "".
-    Each row is coded by itself; ``lexicon`` (from ``compile_lexicon``) changes
-    speed only, never the ids.
+    Each row is coded by itself: repeated rows and null ids give their own rows,
+    an empty table none. ``lexicon`` (from ``compile_lexicon``) changes speed
+    only, never the ids. Columns kept may not be named ``_text`` or like those
+    that are added.
     """
     tokenizer = tokenizer or default_tokenizer()
     if lexicon is None:
