@@ -145,6 +145,45 @@ def align(template: list[str], words: list[str | None], diagonal: int, band: int
     return best[1], best[2], best[3]
 
 
+#: Diagonals that are aligned together, and from how many on that pays.
+TOGETHER, FEW = 2048, 12
+
+
+def align_many(template: list[str], words: list[str | None], diagonals: list[int], band: int = BAND) -> list[tuple[int, int, int]]:
+    """``align`` at many diagonals: the bands go through the template side by side, a row of all of them at a time."""
+    number = {w: i for i, w in enumerate(template)}
+    text = np.array([-2 if w is None else number.get(w, -1) for w in words] + [-2], np.int64)
+    out: list[tuple[int, int, int]] = []
+    width = 2 * band + 1
+    for part in range(0, len(diagonals), TOGETHER):
+        near = np.array(diagonals[part : part + TOGETHER], np.int64) - band
+        score, matched, begin = np.zeros((3, width + 1, len(near)), np.int64)
+        begin[:] = -1
+        # Beyond the band nothing comes from above: its score keeps any step from being taken.
+        score[width] = -9
+        best, held, first, end = np.zeros((4, len(near)), np.int64)
+        for i, want in enumerate(template):
+            left = (np.zeros(len(near), np.int64),) * 2 + (np.full(len(near), -1),)
+            for o in range(width):
+                j = near + (i + o)
+                word = text[np.where((j >= 0) & (j < len(words)), j, -1)]
+                same = word == number[want]
+                s, m, b = score[o], matched[o], begin[o]
+                b = np.where(same & (s <= 0), j, b)
+                s, m = np.where(same, s + 2, s - 1), np.where(same, m + 1, m)
+                for others in ((score[o + 1], matched[o + 1], begin[o + 1]), left):
+                    step = others[0] - 1 > s
+                    if step.any():
+                        s, m, b = (np.where(step, x, y) for x, y in zip((others[0] - 1, *others[1:]), (s, m, b), strict=True))
+                gone = (s <= 0) | (word == -2)
+                s, m, b = np.where(gone, 0, s), np.where(gone, 0, m), np.where(gone, -1, b)
+                score[o], matched[o], begin[o] = left = (s, m, b)
+                more = s > best
+                best, held, first, end = np.where(more, s, best), np.where(more, m, held), np.where(more, b, first), np.where(more, j + 1, end)
+        out += zip(held.tolist(), first.tolist(), end.tolist(), strict=True)
+    return out
+
+
 class Scanner:
     """Templates (of K words at least), their inverted index, and the scan of one text."""
 
@@ -176,14 +215,13 @@ class Scanner:
         """
         words = list(words)
         while left:
-            own, reach = set(), None
+            reach, centres = None, []
             for diagonal, _ in left:
-                if reach is not None and diagonal <= reach:
-                    continue
-                reach = diagonal + BAND
-                matched, first, end = align(template, words, reach - BAND // 2)
-                if matched and matched / len(template) >= self.least:
-                    own.add((-matched, first, end))
+                if reach is None or diagonal > reach:
+                    reach = diagonal + BAND
+                    centres.append(reach - BAND // 2)
+            aligned = align_many(template, words, centres) if len(centres) > FEW else [align(template, words, c) for c in centres]
+            own = {(-matched, first, end) for matched, first, end in aligned if matched and matched / len(template) >= self.least}
             if not own:
                 return
             for negative, first, end in sorted(own):
@@ -244,6 +282,8 @@ def scan_licenses(docs: DataFrame, keep: list[str], templates: dict[str, str] |
     empty text has none. Repeated rows give repeated results. Every place of
     every text is looked up: nothing is cut off. Of overlapping occurrences of
     templates that are taken for each other (versions, variants) the best stays.
+    Columns kept may not be named ``_text`` or like those that are added. An
+    empty table gives none.
     """
     held = dict(TEMPLATES if templates is None else templates)
     rivals = Scanner(held, least_coverage).rivals
