@@ -1,13 +1,15 @@
 """Nearest neighbours by multi-index hashing of learned rotated binary codes.
 
-Codes are signs after a rotation learned (iterative quantisation: principal
+Codes are signs after rotations learned (iterative quantisation: principal
 axes, then alternating signs and an orthogonal Procrustes step) on a bounded
-sample. A code is split into substrings and each substring is an index of its
-own: if two codes differ in at most ``r`` bits, some substring differs in at
-most ``floor(r / substrings)`` bits, so probing all values that near in every
-substring retrieves every code within the radius. These are checked by whole
-code and reranked by the floats. Rows are dealt into tiles of bounded numbers
-of vectors and queries; the index covers every row.
+sample; several rotations give a code more bits than a vector has components,
+so that a Hamming radius tells neighbours from others. A code is split into
+substrings and each is an index of its own: of two codes that differ in at most
+``r = a * substrings + b`` bits, one of the first b + 1 substrings differs in at
+most a bits, or one of the others in at most a - 1. Probing all values that near
+retrieves every code within the radius. These are checked by whole code and
+reranked by the floats. Rows are dealt into tiles of bounded numbers of vectors
+and queries; the index covers every row.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from lodestone.llm.storage import materialise
 SAMPLE = 20_000
 VECTORS_A_TILE = 16_384
 QUERIES_A_TILE = 4_096
-SUBSTRING_BITS = 8
+SUBSTRING_BITS = 16
+ROTATIONS = 4
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -44,44 +47,44 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 class Codes:
-    """Learned rotation; codes have as many bits as a multiple of 8 not above ``bits`` and the dimension allows."""
+    """Learned rotations; a code has ``ROTATIONS`` times as many bits as axes, at most ``axes`` or the dimension, filled up to whole substrings."""
 
-    def __init__(self, sample: np.ndarray, bits: int = 64, rounds: int = 30, seed: int = 7):
-        d = sample.shape[1]
-        self.bits = max(SUBSTRING_BITS, -(-min(bits, d) // SUBSTRING_BITS) * SUBSTRING_BITS)
+    def __init__(self, sample: np.ndarray, axes: int = 64, rounds: int = 30, seed: int = 7):
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
-        _, axes = np.linalg.eigh(centred.T @ centred)
-        axes = axes[:, ::-1][:, : min(self.bits, d)]
-        flat = centred @ axes
-        rng = np.random.default_rng(seed)
-        turn = np.linalg.qr(rng.normal(size=(flat.shape[1],) * 2))[0]
-        for _ in range(rounds):
-            u, _, w = np.linalg.svd(np.where(flat @ turn > 0, 1.0, -1.0).T @ flat)
-            turn = (u @ w).T
-        self.project = axes @ turn
+        _, vectors = np.linalg.eigh(centred.T @ centred)
+        main = vectors[:, ::-1][:, : min(axes, sample.shape[1])]
+        flat = centred @ main
+        turned = []
+        for i in range(ROTATIONS):
+            turn = np.linalg.qr(np.random.default_rng(seed + i).normal(size=(flat.shape[1],) * 2))[0]
+            for _ in range(rounds):
+                u, _, w = np.linalg.svd(np.where(flat @ turn > 0, 1.0, -1.0).T @ flat)
+                turn = (u @ w).T
+            turned.append(main @ turn)
+        self.project = np.hstack(turned)
+        self.bits = -(-self.project.shape[1] // SUBSTRING_BITS) * SUBSTRING_BITS
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """Packed codes, one byte a substring."""
+        """Codes, a column of 16 bits a substring."""
         signs = np.zeros((len(x), self.bits), np.uint8)
         signs[:, : self.project.shape[1]] = (x - self.mean) @ self.project > 0
-        return np.packbits(signs, axis=1)
-
-
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+        return np.packbits(signs, axis=1).view(np.uint16)
 
 
 def hamming(code: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return _POP[codes ^ code].sum(axis=1, dtype=np.int64)
+    if codes.shape[1] % 4 == 0 and codes.flags.c_contiguous:
+        code, codes = np.ascontiguousarray(code).view(np.uint64), codes.view(np.uint64)
+    return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int64)
 
 
-def learn(sample: np.ndarray, k: int, share: float = 0.97, bits: int = 64) -> tuple[Codes, int]:
+def learn(sample: np.ndarray, k: int, share: float = 0.97, axes: int = 64) -> tuple[Codes, int]:
     """(codes, radius): within it lie ``share`` of the k nearest of the sample's first 200 rows.
 
     Neighbours in a sample are farther away than those among all rows, so the
     radius errs on the wide side.
     """
-    codes = Codes(sample, bits)
+    codes = Codes(sample, axes)
     packed = codes.encode(sample)
     far = []
     for i in range(min(200, len(sample))):
@@ -99,28 +102,62 @@ class MultiIndex:
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.parts = codes.shape[1]
-        self.order = [np.argsort(codes[:, j], kind="stable").astype(np.int32) for j in range(self.parts)]
-        self.begin = [np.concatenate(([0], np.cumsum(np.bincount(codes[:, j], minlength=256)))) for j in range(self.parts)]
-        values = np.arange(256)
-        self.near = [np.argsort(_POP[values ^ v], kind="stable") for v in range(256)]
-        self.within = np.cumsum(np.bincount(_POP, minlength=9))
+        self.order, self.values, self.begin = [], [], []
+        for j in range(self.parts):
+            order = np.argsort(codes[:, j], kind="stable").astype(np.int32)
+            values, begin = np.unique(codes[order, j], return_index=True)
+            self.order.append(order)
+            self.values.append(values)
+            self.begin.append(np.append(begin, len(codes)))
+
+    def _probe(self, j: int, value: np.uint16, reach: int, hit: np.ndarray) -> None:
+        """Marks the rows whose j-th substring differs from ``value`` in at most ``reach`` bits."""
+        values, begin = self.values[j], self.begin[j]
+        if reach < len(MASKS) and len(MASKS[reach]) < len(values):
+            asked = np.sort(MASKS[reach] ^ value)
+            at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+            at = at[values[at] == asked]
+        else:
+            # There are fewer values in the table than values that near.
+            at = np.flatnonzero(np.bitwise_count(values ^ value) <= reach)
+        first, count = begin[at], begin[at + 1] - begin[at]
+        total = int(count.sum())
+        if total:
+            hit[self.order[j][np.repeat(first - (np.cumsum(count) - count), count) + np.arange(total)]] = True
 
     def radius(self, code: np.ndarray, r: int) -> np.ndarray:
         """Rows within Hamming distance r, found by probing the substrings."""
-        probes = self.within[min(8, r // self.parts)]
+        if not len(self.codes):
+            return np.zeros(0, np.int64)
+        reach, more = divmod(r, self.parts)
         hit = np.zeros(len(self.codes), bool)
         for j in range(self.parts):
-            values = self.near[code[j]][:probes]
-            first, count = self.begin[j][values], self.begin[j][values + 1] - self.begin[j][values]
-            total = int(count.sum())
-            if total:
-                where = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total)
-                hit[self.order[j][where]] = True
+            own = reach if j <= more else reach - 1
+            if own >= 0:
+                self._probe(j, code[j], own, hit)
         rows = np.flatnonzero(hit)
         return rows[hamming(code, self.codes[rows]) <= r]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 64, share: float = 0.97) -> DataFrame:
+def _masks(most: int) -> list[np.ndarray]:
+    every = np.arange(1 << SUBSTRING_BITS, dtype=np.uint16)
+    weight = np.bitwise_count(every)
+    return [every[weight <= r] for r in range(most + 1)]
+
+
+#: The differences of at most 0, 1, 2 and 3 bits.
+MASKS = _masks(3)
+
+
+def best_of(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k ids with the highest scores, ties to the smaller id, each id once."""
+    order = np.lexsort((ids, -score))
+    _, first = np.unique(ids[order], return_index=True)
+    order = order[np.sort(first)][:k]
+    return ids[order], score[order]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", axes: int = 64, share: float = 0.97) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest found, by inner product.
 
     Score is the inner product in double precision on the original vectors;
@@ -129,7 +166,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     it has: every query gets k rows, or all candidates if there are fewer. Rows
     whose vector is null, empty, zero, of another length than most, or has a
     null or non-finite component take no part, and give no rows as queries.
-    Ids must be unique; other columns are ignored.
+    Of an id that several rows share all vectors ask and answer, and the best
+    pair counts. Other columns are ignored.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -141,7 +179,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     n, q = sizes["count"], asked.count()
     fraction = min(1 << 31, max(1, -(-SAMPLE * (1 << 31) // n)))
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(1 << 31)) < fraction).orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(SAMPLE).select("v").toArrow()
-    model = spark.sparkContext.broadcast(learn(_matrix(sample.column(0)), k, share, bits))
+    model = spark.sparkContext.broadcast(learn(_matrix(sample.column(0)), k, share, axes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, _ = model.value
@@ -160,29 +198,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         _, radius = model.value
         asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         ids, x = group.column("vec_id").to_numpy(), _matrix(group.column("v"))
-        codes = np.frombuffer(b"".join(group.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        codes = np.frombuffer(b"".join(group.column("code").to_pylist()), np.uint16).reshape(len(ids), -1)
         data, own, tables = x[~asks], ids[~asks], MultiIndex(codes[~asks])
-        out_q, out_v, out_s = [], [], []
-        for query, vector, code in zip(ids[asks], x[asks], codes[asks], strict=True):
+        single = len(np.unique(own)) == len(own)
+        out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for query, vector, code in zip(ids[asks].tolist(), x[asks], codes[asks], strict=True):
             r = radius
             while True:
                 found = tables.radius(code, r)
                 found = found[own[found] != query]
-                if len(found) >= k or r >= code.size * 8:
+                if (len(found) if single else len(np.unique(own[found]))) >= k or r >= codes.shape[1] * SUBSTRING_BITS:
                     break
-                r = min(r + 4, code.size * 8)
-            if not len(found):
-                continue
-            score = (data[found] * vector).sum(axis=1)
-            if len(found) > k:
-                least = np.partition(score, len(score) - k)[len(score) - k]
-                found, score = found[score >= least], score[score >= least]
-            best = np.lexsort((own[found], -score))[:k]
-            out_q.append(np.full(len(best), query))
-            out_v.append(own[found][best])
-            out_s.append(score[best])
+                r = min(r + 4, codes.shape[1] * SUBSTRING_BITS)
+            if len(found):
+                score = (data[found] * vector).sum(axis=1)
+                if single and len(found) > k:
+                    least = np.partition(score, len(score) - k)[len(score) - k]
+                    found, score = found[score >= least], score[score >= least]
+                out.setdefault(query, []).append(best_of(own[found], score, k))
+        best = [(q, *(parts[0] if len(parts) == 1 else best_of(*(np.concatenate(c) for c in zip(*parts, strict=True)), k))) for q, parts in out.items()]
         join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-        return pa.table({"query_id": pa.array(join(out_q, np.int64), pa.int64()), "vec_id": pa.array(join(out_v, np.int64), pa.int64()), "score": pa.array(join(out_s, np.float64), pa.float64())})
+        return pa.table({"query_id": pa.array(join([np.full(len(v), q) for q, v, _ in best], np.int64), pa.int64()), "vec_id": pa.array(join([v for _, v, _ in best], np.int64), pa.int64()), "score": pa.array(join([s for _, _, s in best], np.float64), pa.float64())})
 
     found = both.groupBy("tile", "block").applyInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
