@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from lodestone.llm.workers import frugal, give_back
+
 BITS = 15
 ORDERS = (1, 2, 3)
 #: Code points that are scored together.
@@ -131,7 +133,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(there) + 1)), pa.array(np.append(there, -1), pa.int32()), pa.array(np.append(sums[there], docs_of[lang]), pa.int64())], names=["lang", "feature", "n"])
 
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER)).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sums = labelled.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    sums = labelled.mapInArrow(frugal(count), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     # One row of packed counts a language and 4096 features: the matrix is what is collected, and its size is bounded.
     packed = sums.groupBy("lang", F.floor(F.col("feature") / 4096).alias("block")).agg(F.sort_array(F.collect_list(F.struct("feature", "n"))).alias("counts")).toLocalIterator()
     rows: dict[str, np.ndarray] = {}
@@ -189,7 +191,7 @@ def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text") ->
             label, score = decide(batch.column(len(keep)).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(frugal(run), schema)
 
 
 def accepted(docs: DataFrame, model, least_score: float = 0.5, languages: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -202,6 +204,7 @@ def accepted(docs: DataFrame, model, least_score: float = 0.5, languages: list[s
     @F.arrow_udf("boolean")
     def fits(texts: pa.Array) -> pa.Array:
         labels, sure = decide(texts.to_pylist(), shared.value)
+        give_back()
         return pa.array([x != "und" and p >= least_score and (languages is None or x in languages) for x, p in zip(labels, sure, strict=True)], pa.bool_())
 
     return docs.where(fits(_with_letter(text_col)))

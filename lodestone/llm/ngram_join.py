@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.components import connected_components
 from lodestone.llm.idfilter import bloom_bitmap, may_contain
 from lodestone.llm.storage import materialise
+from lodestone.llm.workers import frugal
 
 U = np.uint64
 SMALL_BUCKET = 24
@@ -370,7 +371,7 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, num: int = 80, de
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
-    found = base.mapInArrow(_sketch(words, num, den), SKETCH).repartition("key").sortWithinPartitions("key", F.desc("n"), "c").mapInArrow(_scan, FOUND)
+    found = base.mapInArrow(frugal(_sketch(words, num, den)), SKETCH).repartition("key").sortWithinPartitions("key", F.desc("n"), "c").mapInArrow(frugal(_scan), FOUND)
     found = materialise(found, "partenum")
     rows = found.where("kind = 0").select("doc_id", "n", "c", "d2", "th", F.concat(F.to_binary(F.hex("c"), F.lit("hex")), F.to_binary(F.lpad(F.hex("d2"), 16, "0"), F.lit("hex"))).alias("node"))
     classes = rows.where("n > 0").groupBy("c", "node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"), F.max("n").alias("n")).select("c", "node", "n", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"), "first")
@@ -382,7 +383,7 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, num: int = 80, de
     wanted_texts = wanted.select("node", "rep", F.col("th").alias("th2"), F.xxhash64("rep", "th").alias("h"))
     own = base.withColumn("own", F.xxhash64("doc_id", "th")).where(may_contain(bloom_bitmap(wanted_texts, "h"), F.col("own")))
     texts = own.join(wanted_texts, (F.col("own") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("th2")))
-    texts = texts.select("own", "node", "text").dropDuplicates(["own", "node"]).select("node", "text").mapInArrow(_with_parity(words), "node binary, text string, size long, parity array<long>")
+    texts = texts.select("own", "node", "text").dropDuplicates(["own", "node"]).select("node", "text").mapInArrow(frugal(_with_parity(words)), "node binary, text string, size long, parity array<long>")
     texts = materialise(texts, "texts")
 
     def texts_of(some: DataFrame, column: str) -> DataFrame:
@@ -396,7 +397,7 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, num: int = 80, de
         pairs = materialise(pairs.where(differ * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)).select("a", "b"), "near-pairs")
         with_a = pairs.join(texts_of(pairs, "a").toDF("a", "ta"), "a")
         both = with_a.join(texts_of(pairs, "b").toDF("b", "tb"), "b")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, num, den), "a binary, b binary")
+        return both.select("a", "b", "ta", "tb").mapInArrow(frugal(_verify(words, num, den)), "a binary, b binary")
 
     fits = F.least(F.abs("n"), "pivot_n").cast("long") * den >= F.greatest(F.abs("n"), "pivot_n").cast("long") * num
     star = members.where(fits).select("c", "pivot").distinct()

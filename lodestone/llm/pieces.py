@@ -10,7 +10,7 @@ occurrences are gathered at once. Nothing is done per word in Python.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ SETTLED = [(0x00, 0x24F), (0x370, 0x52F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Code points of a batch: what one call holds in memory.
 BATCH_POINTS = 3_000_000
+#: The same for a run of a column, whose worker also holds the column, the ids and the decoded texts.
+RUN_POINTS = 1_000_000
 #: Marks a piece that stands for one special token; no UTF-8 text holds this byte.
 SPECIAL = b"\xff"
 
@@ -155,14 +157,24 @@ def encode(units: list[list[str | list[bytes]]], table: PieceTable, resolve) ->
 
 def batches(texts: list[str]) -> Iterator[tuple[int, int]]:
     """(start, stop) of runs of texts of bounded size; a text of more than that is a run of its own."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        if i > start and held + len(text) > BATCH_POINTS:
+    return _cuts(map(len, texts), BATCH_POINTS)
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, stop, texts) of runs of an Arrow column without nulls: one run at a time becomes Python's strings."""
+    for start, stop in _cuts(pc.utf8_length(texts).to_numpy(zero_copy_only=False).tolist(), RUN_POINTS):
+        yield start, stop, texts.slice(start, stop - start).to_pylist()
+
+
+def _cuts(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    start = stop = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
             yield start, i
             start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        held, stop = held + size, i + 1
+    if start < stop:
+        yield start, stop
 
 
 def unsettled_pattern():

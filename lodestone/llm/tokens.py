@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import pieces
 from lodestone.llm.pieces import SPECIAL
 from lodestone.llm.wordbpe import WordBPE, build_lexicon, default_tokenizer, worker_encoder
+from lodestone.llm.workers import frugal
 
 LEXICON_WORDS = 32_768
 
@@ -32,9 +33,8 @@ def word_counts(docs: DataFrame, tokenizer: str | None = None, text_col: str = "
             return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for start, stop in pieces.batches(texts):
-                units = [u for t in texts[start:stop] for u in encoder.units(t)]
+            for _, _, texts in pieces.runs(batch.column(0)):
+                units = [u for t in texts for u in encoder.units(t)]
                 found, _ = pieces.split([u for u in units if isinstance(u, str)])
                 others = pa.array([p for u in units if not isinstance(u, str) for p in u], pa.binary())
                 counts = pa.concat_arrays([found, others]).value_counts()
@@ -47,7 +47,7 @@ def word_counts(docs: DataFrame, tokenizer: str | None = None, text_col: str = "
             yield from summed().to_batches()
 
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(frugal(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
@@ -92,9 +92,8 @@ def encode_decode(docs: DataFrame, keep: list[str], tokenizer: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer, shared.value)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for start, stop in pieces.batches(texts):
-                ids, offsets = encoder.encode(texts[start:stop])
+            for start, stop, texts in pieces.runs(batch.column(len(keep))):
+                ids, offsets = encoder.encode(texts)
                 decoded = encoder.decode_batch(ids, offsets)
                 if digests:
                     made = [
@@ -106,4 +105,4 @@ def encode_decode(docs: DataFrame, keep: list[str], tokenizer: str | None = None
                     made = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32))), decoded]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in range(len(keep))), *made], schema=pa.schema([*(pa.field(k, batch.column(i).type) for i, k in enumerate(keep)), *(pa.field(n, x.type) for n, x in zip(names, made, strict=True))]))
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(frugal(run), schema)

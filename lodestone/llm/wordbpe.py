@@ -310,7 +310,7 @@ class Lexicon:
 class Encoder:
     """Texts to ids. ``lexicon`` holds split pieces; None leaves every piece to the merges."""
 
-    def __init__(self, bpe: WordBPE, lexicon: Lexicon | None = None, remember: int = 1_000_000):
+    def __init__(self, bpe: WordBPE, lexicon: Lexicon | None = None, remember: int = 250_000):
         self.bpe, self.lexicon = bpe, lexicon
         self.table = pieces.PieceTable("<u4", remember)
         self.tokens = pa.array(bpe.tokens, pa.string())
