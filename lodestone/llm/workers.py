@@ -1,34 +1,5 @@
-"""Memory of Python workers: what a task has freed goes back to the system.
+"""Memory of Python workers, as the corpus operators import it."""
 
-Workers serve task after task, of all stages of a job. The C library and
-Arrow's pool keep freed blocks for later, so that a worker would come to hold
-the sum of its stages' peaks.
-"""
+from lodestone.workers import frugal, give_back
 
-from __future__ import annotations
-
-import ctypes
-import functools
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-
-
-def give_back() -> None:
-    """Return what this process has freed, as far as the C library knows how to."""
-    pa.default_memory_pool().release_unused()
-    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-        trim(0)
-
-
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """A function for ``mapInArrow`` that leaves its worker no larger than what is still in use."""
-
-    @functools.wraps(run)
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            give_back()
-
-    return wrapped
+__all__ = ["frugal", "give_back"]

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lodestone.functions.text import words
 from lodestone.operators import callgraph, citations, ranking, search
 from lodestone.providers import Chat, ExtractiveChat, HashedEmbedder, embedded, scored
-from lodestone.session import saved
+from lodestone.session import saved, small
 
 SYSTEM = "Answer from the context alone and cite path:first-last."
 
@@ -36,8 +36,8 @@ def ask(chunks: DataFrame, questions: DataFrame, candidates: int = 100, keep: in
     """
     named = questions.select("query_id", "question")
     fused = retrieve(chunks, named, candidates, "overlap")
-    about = chunks.select("doc_id", "file_path", "symbol_name", F.size(words(F.col("content"))).alias("tokens"))
-    rows = fused.join(about, "doc_id").join(named, "query_id")
+    about = chunks.join(small(fused, "fused"), "doc_id").select("query_id", "doc_id", "fused", "file_path", "symbol_name", F.size(words(F.col("content"))).alias("tokens"))
+    rows = about.join(named, "query_id")
     rows = rows.withColumn("score", ranking.boosted(F.col("fused"), F.col("question"), F.col("file_path"), F.col("symbol_name")))
     kept = ranking.cap_per_file(rows, keep)
     return ranking.pack_context(kept, budget).select("query_id", "place", "doc_id", "file_path", "score", "tokens", "running")
@@ -45,7 +45,8 @@ def ask(chunks: DataFrame, questions: DataFrame, candidates: int = 100, keep: in
 
 def reranked(fused: DataFrame, chunks: DataFrame, questions: DataFrame, keep: int = ranking.KEEP, reranker: Callable | None = None) -> DataFrame:
     """(query_id, doc_id, score, place, file_path): candidates by reranker and exact mentions, with a quota for each file."""
-    rows = fused.select("query_id", "doc_id").join(chunks.select("doc_id", "file_path", "symbol_name", "content"), "doc_id").join(questions.select("query_id", "question"), "query_id")
+    # The candidates go to the chunks, whose texts aren't shuffled for them.
+    rows = chunks.select("doc_id", "file_path", "symbol_name", "content").join(small(fused.select("query_id", "doc_id"), "fused"), "doc_id").join(F.broadcast(questions.select("query_id", "question")), "query_id")
     rows = rows.withColumn("document", ranking.rerank_document(F.col("file_path"), F.col("symbol_name"), F.col("content")))
     if reranker is None:
         rows = rows.withColumn("score", ranking.overlap_score(F.col("question"), F.col("document")))

@@ -6,6 +6,7 @@ through Arrow, so a hosted model is asked for many rows at a time.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Sequence
 from typing import Protocol
@@ -61,20 +62,32 @@ class Judge(Protocol):
     def score(self, metric: str, question: str, answer: str, contexts: Sequence[str]) -> float: ...
 
 
+class Places(dict):
+    """Places of words by their hash; the first ``most`` words that are asked for are remembered."""
+
+    def __init__(self, size: int, most: int = 1 << 18):
+        super().__init__()
+        self.size, self.most = size, most
+
+    def __missing__(self, word: str) -> int:
+        place = int(hashlib.sha1(word.encode()).hexdigest()[:8], 16) % self.size
+        if len(self) < self.most:
+            self[word] = place
+        return place
+
+
 class HashedEmbedder:
     """Counts of words hashed into ``size`` places."""
 
     def __init__(self, size: int = 64):
-        self.size = size
+        self.size, self.places = size, Places(size)
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        import hashlib
-
         out = []
         for text in texts:
             row = [0.0] * self.size
-            for w in WORD.findall((text or "").lower()):
-                row[int(hashlib.sha1(w.encode()).hexdigest()[:8], 16) % self.size] += 1.0
+            for place in map(self.places.__getitem__, WORD.findall((text or "").lower())):
+                row[place] += 1.0
             out.append(row)
         return out
 

@@ -9,7 +9,7 @@ from lodestone.functions import text as T
 from lodestone.operators import appdata, callgraph, chunking, citations, evaluation, ranking, search
 from lodestone.plans.ask import ask
 from lodestone.registry import QUERIES, SQL, Query, query
-from lodestone.session import importable, table
+from lodestone.session import importable, small, table
 from lodestone.sources import files
 
 NAMES = ["id_rsa", "server.pem", ".env.example", "secrets.yaml", "credentials.json", "my-private-key.txt", "app.py", "README.md", "main.go", "lib.min.js", "X.PNG", "yarn.lock", "build", "password_utils.py", "view.tsx", "Tool.KT", "id_rsa.example", "a.b.rs", ".gitignore", "core.cpp"]
@@ -177,8 +177,9 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY in_file > 5
 def _kept(spark, d):
     docs, q = table(spark, d, "documents"), _questions(spark, d)
     fused = search.fuse(*search.lexical_lists(docs, q))
-    about = docs.select("doc_id", F.col("source").alias("file_path"), F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("symbol"), F.size(T.words(F.col("text"))).alias("tokens"))
-    rows = fused.join(about, "doc_id").join(q, "query_id")
+    # The candidates go to the documents: only their rows are cut into words, and no text is shuffled.
+    about = docs.join(small(fused, "fused"), "doc_id").select("query_id", "doc_id", "fused", F.col("source").alias("file_path"), F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("symbol"), F.size(T.words(F.col("text"))).alias("tokens"))
+    rows = about.join(q, "query_id")
     return ranking.cap_per_file(rows.withColumn("score", ranking.boosted(F.col("fused"), F.col("question"), F.col("file_path"), F.col("symbol"))))
 
 

@@ -10,7 +10,7 @@ from lodestone.providers import OverlapReranker, rewritten, scored
 from lodestone.queries import _BM25, _CALLS_SQL, _LOCAL, CITED, _call_chunks
 from lodestone.queries_code import _WORDS, _vectors
 from lodestone.registry import query
-from lodestone.session import importable, saved, table
+from lodestone.session import importable, saved, small, table
 
 #: Every fourth question asks for callers, in words that match little, so that some are routed to the call graph.
 _ASKED = "CASE WHEN item_id % 4 = 0 THEN concat('who calls qqqq wwww eeee ', split_part(text, ' ', 1)) ELSE text END"
@@ -83,7 +83,8 @@ def rerank_provider(spark, d):
 
     asked = _questions(importable(spark), d)
     chunks = _chunks(spark, d)
-    rows = search.bm25_topk(chunks, asked, 10, text="content").select("query_id", "doc_id").join(asked, "query_id").join(chunks.select("doc_id", F.substring("content", 1, 2000).alias("document")), "doc_id")
+    best = small(search.bm25_topk(chunks, asked, 10, text="content").select("query_id", "doc_id"), "best")
+    rows = chunks.select("doc_id", F.substring("content", 1, 2000).alias("document")).join(best, "doc_id").join(asked, "query_id")
     return scored(rows.repartition("query_id").sortWithinPartitions("query_id"), OverlapReranker).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -42,3 +43,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that are sent to every executor at most.
+FEW = 1_000_000
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """Written, and sent whole to the other side of a join if it is small: then large rows aren't shuffled for it."""
+    rows = saved(df, name)
+    return F.broadcast(rows) if rows.count() <= FEW else rows
