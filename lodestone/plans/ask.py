@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lodestone.functions.text import words
+from lodestone.functions.text import basename, stem, words
 from lodestone.operators import callgraph, citations, ranking, search
 from lodestone.providers import Chat, ExtractiveChat, HashedEmbedder, embedded, scored
 from lodestone.session import saved, small
@@ -69,17 +71,49 @@ def expanded(kept: DataFrame, route: DataFrame, chunks: DataFrame, questions: Da
     ``calls``: chunk_id (a doc_id), seq, file_path, symbol_name and calls of the chunks.
     """
     seeds = kept.join(route.where("expands").select("query_id"), "query_id", "left_semi").select("query_id", F.col("doc_id").alias("chunk_id"))
-    near = callgraph.expand(seeds, callgraph.symbols(calls), callgraph.call_sites(calls)).withColumnRenamed("chunk_id", "doc_id")
-    rows = near.join(chunks.select("doc_id", "file_path", "symbol_name", "content"), "doc_id").join(questions.select("query_id", "question"), "query_id")
+    near = callgraph.neighbours(seeds, callgraph.symbols(calls), callgraph.call_sites(calls)).withColumnRenamed("chunk_id", "doc_id")
     document = ranking.rerank_document(F.col("file_path"), F.col("symbol_name"), F.col("content"))
-    return ranking.append_expanded(kept, rows.select("query_id", "doc_id", ranking.overlap_score(F.col("question"), document).alias("score")))
+    asked = questions.join(F.broadcast(route.where("expands").select("query_id")), "query_id", "left_semi")
+    return ranking.append_expanded(kept, search.overlap_of(near, chunks.select("doc_id", words(document).alias("w")), asked))
 
 
 def packed(places: DataFrame, chunks: DataFrame, budget: int = ranking.BUDGET) -> DataFrame:
-    """Adds path, lines, block_text, tokens and the running sum to the rows that fit the budget. Chunks need start_line and end_line."""
-    about = chunks.select("doc_id", "file_path", "start_line", "end_line", ranking.block_text(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("symbol_name"), F.col("content")).alias("block_text"))
-    rows = places.join(about, "doc_id").withColumn("tokens", F.size(words(F.col("block_text"))))
-    return ranking.pack_context(rows, budget)
+    """Adds path, lines, block_text, tokens and the running sum to the rows that fit the budget. Chunks need start_line and end_line.
+
+    Places count from 1 without gaps. Texts join the rows that fit, not all that
+    were found: a block has a token at least, for it states its lines, unless a
+    part of it is null, so that later places can't fit.
+    """
+    parts = ["file_path", "start_line", "end_line", "symbol_name", "content"]
+    block = ranking.block_text(*map(F.col, parts))
+    blank = chunks.where(reduce(or_, (F.col(c).isNull() for c in parts))).count()
+    near = saved(places.where(F.col("place") <= budget + 1 + blank), "near")
+    # Written, since a join would count the words again for each of a document's places.
+    tokens = saved(chunks.join(small(near.select("doc_id").distinct(), "ids"), "doc_id", "left_semi").select("doc_id", F.size(words(block)).alias("tokens")), "tokens")
+    rows = small(ranking.pack_context(near.join(tokens, "doc_id"), budget), "packed")
+    return chunks.select("doc_id", "file_path", "start_line", "end_line", block.alias("block_text")).join(rows, "doc_id")
+
+
+def _names(path: Column) -> Column:
+    """What a citation may call a file: its path, its name, its stem."""
+    return F.array(path, basename(path), stem(basename(path)))
+
+
+def cited(answers: DataFrame, places: DataFrame, chunks: DataFrame, answer: str) -> DataFrame:
+    """(query_id, chunks): the spans among each question's places that its answer may cite; no other bears on ``citations.validate``.
+
+    Of all places only those of files that some answer names are met.
+    """
+    found = F.concat(citations.extract(F.col(answer), citations.STRICT), citations.extract(F.col(answer), citations.LENIENT))
+    said = small(answers.where(F.col(answer).isNotNull()).select("query_id", F.col(answer).alias("_said"), F.array_distinct(F.flatten(F.transform(found, lambda x: _names(x["path"])))).alias("_keys")), "said")
+    keys = small(said.select(F.explode("_keys").alias("_key")).distinct(), "keys")
+    spans = chunks.select("doc_id", "file_path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
+    named = chunks.select("doc_id", F.explode(_names(F.col("file_path"))).alias("_key")).join(keys, "_key", "left_semi").select("doc_id")
+    # Paths with blanks may be cited as they are, which no key tells.
+    ids = small(named.unionByName(chunks.where(F.col("file_path").contains(" ")).select("doc_id")).distinct(), "ids")
+    rows = places.select("query_id", "doc_id").join(small(spans.join(ids, "doc_id", "left_semi"), "spans"), "doc_id").join(said, "query_id")
+    rows = rows.where(F.arrays_overlap("_keys", _names(F.col("file_path"))) | F.col("file_path").contains(" ") & F.contains("_said", "file_path"))
+    return rows.groupBy("query_id").agg(F.collect_list(F.struct("file_path", "start_line", "end_line")).alias("chunks"))
 
 
 def answered(places: DataFrame, chunks: DataFrame, questions: DataFrame, budget: int = ranking.BUDGET, chat: Callable[[], Chat] = ExtractiveChat) -> DataFrame:
@@ -89,11 +123,10 @@ def answered(places: DataFrame, chunks: DataFrame, questions: DataFrame, budget:
     Questions without any row are refused and no model is asked.
     """
     context = ranking.context_text(packed(places, chunks, budget), budget)
-    spans = places.join(chunks.select("doc_id", "file_path", "start_line", "end_line"), "doc_id").groupBy("query_id").agg(F.collect_list(F.struct("file_path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))).alias("chunks"))
-    rows = questions.select("query_id", "question").join(context, "query_id", "left").join(spans, "query_id", "left")
+    rows = questions.select("query_id", "question").join(context, "query_id", "left")
 
     def completed(asked: DataFrame, prompt: Column, name: str) -> DataFrame:
-        """Adds the model's answers; null prompts ask nothing. A step of its own, so that no prompt is sent twice."""
+        """Adds the model's answers; null prompts ask nothing. Written, so that no prompt is sent twice."""
         rows = asked.withColumn("_prompt", prompt)
         schema = StructType([*asked.schema.fields, StructField(name, StringType())])
 
@@ -104,16 +137,21 @@ def answered(places: DataFrame, chunks: DataFrame, questions: DataFrame, budget:
                 columns = batch.columns[:-1]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string())], names=[*batch.schema.names[:-1], name])
 
-        return rows.mapInArrow(run, schema)
+        return saved(rows.mapInArrow(run, schema), name)
+
+    def held(rows: DataFrame, answer: str, valid: str) -> DataFrame:
+        rows = rows.join(cited(rows, places, chunks, answer), "query_id", "left")
+        return citations.validate(rows, answer).withColumn(valid, F.col("valid")).drop("valid", "step", "chunks")
 
     prompt = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nRetrieved context:\n"), F.col("context"))
-    rows = completed(rows, prompt, "first")
-    rows = citations.validate(rows, "first").withColumn("valid1", F.col("valid")).drop("valid", "step")
+    rows = saved(held(completed(rows, prompt, "first"), "first", "valid1"), "gate")
     refusal1 = citations.refuses(F.col("first"))
-    allowed = F.array_join(F.array_sort(F.array_distinct(F.transform("chunks", lambda c: c["file_path"]))), ", ")
-    again = F.when(F.col("context").isNotNull() & ~refusal1 & ~F.col("valid1"), F.concat(prompt, F.lit("\n\nCite only: "), allowed))
-    rows = completed(rows, again, "second")
-    rows = citations.validate(rows, "second").withColumn("valid2", F.col("valid"))
+    # All files that were found are listed for the questions alone that are asked again.
+    failed = F.col("context").isNotNull() & ~refusal1 & ~F.col("valid1")
+    again = places.select("query_id", "doc_id").join(small(rows.where(failed).select("query_id"), "failed"), "query_id", "left_semi")
+    files = again.join(chunks.select("doc_id", "file_path"), "doc_id").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("file_path")), ", ").alias("allowed"))
+    rows = completed(rows.join(files, "query_id", "left"), F.when(failed, F.concat(prompt, F.lit("\n\nCite only: "), F.col("allowed"))), "second")
+    rows = held(rows, "second", "valid2")
     result = citations.outcome(F.col("context").isNotNull(), F.col("valid1"), refusal1, F.col("valid2"), citations.refuses(F.col("second")))
     rows = rows.withColumn("outcome", result)
     text = F.when(F.col("outcome").isin("answered", "refused"), F.col("first")).when(F.col("outcome").isin("answered_retry", "refused_retry"), F.col("second")).otherwise(citations.REFUSAL)
