@@ -9,7 +9,7 @@ from lodestone.functions import text as T
 from lodestone.operators import appdata, callgraph, chunking, citations, evaluation, ranking, search
 from lodestone.plans.ask import ask
 from lodestone.registry import QUERIES, SQL, Query, query
-from lodestone.session import importable, small, table
+from lodestone.session import importable, saved, small, table
 from lodestone.sources import files
 
 NAMES = ["id_rsa", "server.pem", ".env.example", "secrets.yaml", "credentials.json", "my-private-key.txt", "app.py", "README.md", "main.go", "lib.min.js", "X.PNG", "yarn.lock", "build", "password_utils.py", "view.tsx", "Tool.KT", "id_rsa.example", "a.b.rs", ".gitignore", "core.cpp"]
@@ -99,7 +99,7 @@ SELECT doc_id, name, array_to_string(calls, ' ') AS calls FROM c"""
 
 @query(_CALLS_SQL + " SELECT s.qualified_id, (SELECT count(*) FROM e WHERE e.src = s.qualified_id) AS n_callees, (SELECT count(*) FROM e WHERE e.dst = s.qualified_id) AS n_callers FROM s")
 def call_graph_degrees(spark, d):
-    chunks = _call_chunks(spark, d)
+    chunks = saved(_call_chunks(spark, d), "chunks")
     return callgraph.degrees(callgraph.symbols(chunks), callgraph.call_sites(chunks))
 
 

@@ -67,3 +67,27 @@ def test_texts_join_rows_that_fit(spark):
     assert [(r["doc_id"], r["running"]) for r in got] == [(0, 14), (1, 28)]
     got = ask.packed(places.where("doc_id > 2").withColumn("place", F.col("place") - 3), docs, 14).orderBy("place").collect()
     assert [(r["doc_id"], r["running"], r["block_text"] is None) for r in got] == [(3, 0, True), (4, 14, False)]
+
+
+def test_saved_calls_grow_with_symbols(spark, tmp_path):
+    _, df = chunks(spark, 200)
+    table, sites = callgraph.symbols(df), callgraph.call_sites(df)
+    callgraph.save_calls(table, sites, str(tmp_path), "c")
+    rows = lambda d: sorted((r["qualified_id"], str(r["chunk_id"]), r["callers"], r["callees"]) for r in d.collect())
+    assert rows(callgraph.load_graph(spark, str(tmp_path), "c")) == rows(callgraph.nested(table, sites))
+    # Ten times the definitions of a name that all call: the folder grows as they do, not as their pairs.
+    sizes = []
+    for n in (100, 1000):
+        many = spark.range(n).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("file_path"), F.lit("go").alias("symbol_name"), F.col("id").alias("chunk_id"), F.col("id").alias("seq"), F.array(F.lit("go")).alias("calls"))
+        callgraph.save_calls(callgraph.symbols(many), callgraph.call_sites(many), str(tmp_path), f"n{n}")
+        sizes.append(sum(p.stat().st_size for p in (tmp_path / f"n{n}").rglob("*.json")))
+    assert sizes[1] < 12 * sizes[0]
+
+
+def test_degrees_read_calls_once_by_name(spark):
+    rows, df = chunks(spark, 200)
+    got = callgraph.degrees(callgraph.symbols(df), callgraph.call_sites(df))
+    nested = callgraph.nested(callgraph.symbols(df), callgraph.call_sites(df))
+    assert sorted(map(tuple, got.collect())) == sorted((r["qualified_id"], len(r["callees"]), len(r["callers"])) for r in nested.collect())
+    # No call is shuffled by the name that is called: a common one would meet in one task.
+    assert "hashpartitioning(called" not in plan(got)
