@@ -8,15 +8,22 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import basename, lines, stem, uuid5
-from lodestone.operators.search import hashed_vector
+from lodestone.operators.search import cut_by, rounded
+from lodestone.providers import Embedder, HashedEmbedder
+from lodestone.session import importable
+from lodestone.workers import frugal
 
 WINDOW_LINES, OVERLAP_LINES = 100, 20
 UNIT_LINES, LEAST_LINES, LEAST_SPAN, MOST_SPAN = 4, 12, 6, 120
 MOST_TOKENS = 6000
+#: Bytes of chunks that a task splits at a time.
+SPLIT_BYTES = 4 << 20
 #: Patterns of declarations, of import lines and of calls.
 DECLARATION = r"^\s*(?:(?:export|public|private|protected|static|final|async)\s+)*(?:def|class|func|function|fn|struct|interface|impl|trait|type|enum|module|const|let|var|sub|package)\s+([A-Za-z_][A-Za-z0-9_]*)"
 IMPORT_LINE = r"^\s*(?:from\s+\S+\s+import\b|import\b|#include\b|using\b|use\b|require\b|require_relative\b|extern\s+crate\b|package\b)"
@@ -93,19 +100,83 @@ def semantic_units(files: DataFrame, path: str = "file_path", text: str = "sourc
     return cut.select(path, "unit", "start", end.alias("end"), "n", around.alias("unit_text"))
 
 
-def semantic_spans(files: DataFrame, path: str = "file_path", text: str = "source_text", embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
+def limited(spans: list[tuple[int, int]], least: int = LEAST_SPAN, most: int = MOST_SPAN) -> list[tuple[int, int]]:
+    """``limit_spans`` of one group: half-open spans in their order."""
+    merged: list[tuple[int, int]] = []
+    for a, b in spans:
+        if merged and b - a < least:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], b))
+        else:
+            merged.append((a, b))
+    out = []
+    for a, b in merged:
+        step = -(-(b - a) // -(-(b - a) // most)) if b - a > most else max(1, b - a)
+        out += [(x, min(x + step, b)) for x in range(a, b, step)]
+    return out
+
+
+def unit_texts(rows: list[str], unit: int = UNIT_LINES) -> list[str]:
+    """``semantic_units`` of one file that isn't short: each unit's lines with its neighbours'."""
+    return ["\n".join(rows[max(0, a - unit) : a + 2 * unit]) for a in range(0, len(rows), unit)]
+
+
+def breaks(vectors, share: float = 0.9):
+    """``span_breaks`` of one group: whether a span ends at each unit."""
+    import numpy as np
+
+    v = np.asarray(vectors, float)
+    norm = np.sqrt((v * v).sum(axis=1))
+    both = norm[:-1] * norm[1:]
+    distance = np.where(both == 0, 1.0, rounded(1.0 - (v[:-1] * v[1:]).sum(axis=1) / np.where(both == 0, 1.0, both), 9))
+    # With two places at least there is a distance.
+    ordered, at = np.sort(distance), share * (len(distance) - 1)
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    cut = ordered[low] if low == high or ordered[low] == ordered[high] else (high - at) * ordered[low] + (at - low) * ordered[high]
+    return np.append(distance > rounded(cut, 9), False)
+
+
+def spans_of(rows: Column, embedder: Callable[[], Embedder]) -> Column:
+    """array<struct<start, end>>, half-open, of a list of lines: a file's units stay together, so nothing is shuffled; short files have no distances and aren't embedded."""
+    kind = "array<struct<start:int,end:int>>"
+    held: list[Embedder] = []
+
+    @F.arrow_udf(kind)
+    def run(column: pa.Array) -> pa.Array:
+        import numpy as np
+
+        if not held:
+            held.append(embedder())
+        starts, ends, cut = [], [], [0]
+        for scalar in column:
+            lines_of = scalar.as_py()
+            if lines_of is not None:
+                flags = breaks(held[0].embed(unit_texts(lines_of)))
+                stops = [min((i + 1) * UNIT_LINES, len(lines_of)) for i in np.flatnonzero(flags)]
+                stops = [*stops, len(lines_of)] if not stops or stops[-1] < len(lines_of) else stops
+                for a, b in limited(list(zip([0, *stops[:-1]], stops, strict=True))):
+                    starts.append(a)
+                    ends.append(b)
+            cut.append(len(starts))
+        pairs = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pairs)
+
+    n = F.size(rows)
+    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end"))).cast(kind)
+    return F.when(n < LEAST_LINES, whole).otherwise(run(F.when(n >= LEAST_LINES, rows)))
+
+
+def semantic_spans(files: DataFrame, path: str = "file_path", text: str = "source_text", embedder: Callable[[], Embedder] = HashedEmbedder) -> DataFrame:
     """(path, start, end), half-open lines: cut where the distance of neighbouring units is above the file's 90th percentile, within size limits."""
-    units = semantic_units(files, path, text).withColumn("_vector", embed(F.col("unit_text")))
-    broken = span_breaks(units, path, "unit", "_vector")
-    before = Window.partitionBy(path).orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    named = broken.withColumn("_span", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
-    return limit_spans(named.groupBy(path, "_span").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(path, "start", "end"), path)
+    importable(files.sparkSession)
+    cut = files.select(path, lines(F.col(text)).alias("_lines")).where(F.size("_lines") > 0)
+    return cut.select(path, F.explode(spans_of(F.col("_lines"), embedder)).alias("_s")).select(path, "_s.start", "_s.end")
 
 
-def semantic_chunks(files: DataFrame, path: str = "file_path", text: str = "source_text", embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
+def semantic_chunks(files: DataFrame, path: str = "file_path", text: str = "source_text", embedder: Callable[[], Embedder] = HashedEmbedder) -> DataFrame:
     """One row a span that isn't blank, named by its first declaration or by its lines; file_path must name its file alone."""
-    spans = semantic_spans(files, path, text, embed)
-    cut = files.select(path, lines(F.col(text)).alias("_lines"), imports(F.col(text)).alias("imports")).join(spans, path)
+    importable(files.sparkSession)
+    cut = files.select(path, lines(F.col(text)).alias("_lines"), imports(F.col(text)).alias("imports")).where(F.size("_lines") > 0)
+    cut = cut.withColumn("_s", F.explode(spans_of(F.col("_lines"), embedder))).select(path, "_lines", "imports", "_s.start", "_s.end")
     cut = cut.withColumn("content", F.array_join(F.slice("_lines", F.col("start") + 1, F.col("end") - F.col("start")), "\n")).where(F.col("content").rlike(r"\S"))
     cut = cut.withColumns({"start_line": F.col("start") + 1, "end_line": F.col("end")}).drop("start", "end", "_lines")
     place = F.concat(stem(basename(F.col(path))), F.lit("["), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("]"))
@@ -135,12 +206,14 @@ def split_oversized(chunks: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
             out += halves(one | {"chunk_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{one['chunk_id']}:split:{n}")), "symbol_name": f"{one['symbol_name']}[part{n + 1}]", "start_line": first, "end_line": last, "content": "\n".join(part)})
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([p for one in batch.to_dict("records") for p in halves(one)], columns=batch.columns)
+            # So many rows are objects at a time as have a few MB of text, whatever a batch has.
+            for a, b in cut_by(pc.binary_length(batch.column("content")).fill_null(0).to_numpy() + 64, SPLIT_BYTES):
+                yield pa.RecordBatch.from_pylist([p for one in batch.slice(a, b - a).to_pylist() for p in halves(one)], schema=batch.schema)
 
     ordered = chunks.select("chunk_id", "symbol_name", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "content", *rest)
-    return ordered.mapInPandas(run, ordered.schema)
+    return ordered.mapInArrow(frugal(run), ordered.schema)
 
 
 #: The kinds of syntax nodes that are chunks, by language.
